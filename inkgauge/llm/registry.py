@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op7_media_columns
+from .packing import op2_best_fit_packing
 from .piece_codec import op1_piece_codec
+from .secrets import OP4_SQL, op4_secret_scans
 from .token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_secret_scans": op4_secret_scans,
     "op6_token_counts": op6_token_counts,
     "op7_media_columns": op7_media_columns,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_secret_scans": OP4_SQL}

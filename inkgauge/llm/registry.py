@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op7_media_columns
+from .one_bit_search import OP8_SQL, op8_one_bit_search
 from .packing import op2_best_fit_packing
 from .piece_codec import op1_piece_codec
 from .secrets import OP4_SQL, op4_secret_scans
 from .token_counts import op6_token_counts
+from .url_filters import OP9_SQL, op9_url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
@@ -18,6 +20,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scans": op4_secret_scans,
     "op6_token_counts": op6_token_counts,
     "op7_media_columns": op7_media_columns,
+    "op8_one_bit_search": op8_one_bit_search,
+    "op9_url_filters": op9_url_filters,
 }
 
-SQL: dict[str, str] = {"op4_secret_scans": OP4_SQL}
+SQL: dict[str, str] = {
+    "op4_secret_scans": OP4_SQL,
+    "op8_one_bit_search": OP8_SQL,
+    "op9_url_filters": OP9_SQL,
+}

@@ -362,9 +362,13 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [r.kind for r in BASE_RULES]
     told = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds),
+        *map(number, kinds),
         F.sha2(told(base), 256).alias("base_sha256"),
         told(F.col("spans")).alias("spans"),
     )

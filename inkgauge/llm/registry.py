@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import op10_jaccard_join
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .media import op7_media_columns
 from .one_bit_search import OP8_SQL, op8_one_bit_search
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_media_columns": op7_media_columns,
     "op8_one_bit_search": op8_one_bit_search,
     "op9_url_filters": op9_url_filters,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 SQL: dict[str, str] = {

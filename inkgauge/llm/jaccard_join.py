@@ -61,8 +61,9 @@ def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_WORDS) > TABLE_ENTRIES:
         _WORDS.clear()
-    for w in set(words) - _WORDS.keys():
-        _WORDS[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in _WORDS:
+            _WORDS[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     span = min(size, len(words))
     total = np.full(len(words) - span + 1, span, np.uint64)

@@ -13,7 +13,8 @@ Classes that share a signature are candidates. Groups of up to ``ALL_PAIRS`` cla
 pairs; larger ones first give pairs with one leader. After components are made of the verified
 links, a large group matters only where it spans several components. A set with few such
 partitions leaves those out, too (they count against the spare ones); what the others
-share is compared between components. All candidates are verified with their whole sets.
+share is compared between components. Histograms of hashes
+exclude most candidates that are no links; the others are verified with their whole sets.
 """
 
 from __future__ import annotations
@@ -96,37 +97,41 @@ class Bands:
         return k, n1 + n1 // 6, 3, 2
 
 
-def signatures(found: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """sig, part (partition and band), spare (partitions that may still be left out; negative: none)."""
-    sigs, parts, spares = [], [], []
+def signatures(found: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """sig (its low 16 bits are the partition) and meta: twice the number of partitions that may
+    still be left out (-1 for none), plus 1 for the next band."""
+    sigs, metas = [], []
     own = bands.of(len(found))
+    deal, part, value = _mix(found, 11), _mix(found, 12), _mix(found, 13)
     for step in (0, 1):
         k, n1, n2, k2 = bands.parameters(own + step)
         if not k:
             continue  # only equal sets are linked
-        first = _mix(found, 11) % np.uint64(n1)
-        cell = (first * np.uint64(n2) + _mix(found, 12) % np.uint64(n2)).astype(np.int64)
+        cell = (deal % np.uint64(n1) * np.uint64(n2) + part % np.uint64(n2)).astype(np.int64)
         total = np.zeros(n1 * n2, np.uint64)
-        np.add.at(total, cell, _mix(found, 13))
+        np.add.at(total, cell, value)
         total = total.reshape(n1, n2)
         held = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2) > 0
-        thin = held.sum(axis=1) <= k2
-        spare = n1 - 1 - k // (k2 + 1) - int(thin.sum())
-        at = np.arange(n1)
+        spare = n1 - 1 - k // (k2 + 1) - int((held.sum(axis=1) <= k2).sum())
+        at = np.arange(n1, dtype=np.uint64)
         for number, chosen in enumerate(combinations(range(n2), n2 - k2)):
-            salt = ((own + step) * 64 + number) * 2
-            sum_ = _mix(at.astype(np.uint64), salt)
+            sum_ = at * _ODD[0] + np.uint64((own + step) * 64 + number)
             some = np.zeros(n1, bool)
             for j in chosen:
-                sum_ = sum_ + total[:, j] * _ODD[j % 5]
+                sum_ = _mix(sum_, j) + total[:, j]
                 some |= held[:, j]
-            use = some if spare >= 0 else np.ones(n1, bool)
-            sigs.append(_mix(sum_, salt + 1)[use])
-            parts.append((at * 2 + step)[use])
-            spares.append(np.full(int(use.sum()), max(-1, min(spare, 30_000))))
+            sum_ = _mix(sum_, 99) & np.uint64(0xFFFFFFFFFFFF0000) | at & np.uint64(0xFFFF)
+            sigs.append(sum_[some] if spare >= 0 else sum_)
+            # Where the low bits cannot tell all partitions, nothing more may be left out.
+            metas.append(np.full(len(sigs[-1]), 2 * (max(-1, min(spare, 15_000)) if n1 <= 0xFFFF else -1) + step, np.int16))
     if not sigs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int16)
-    return np.concatenate(sigs).view(np.int64), np.concatenate(parts).astype(np.int32), np.concatenate(spares).astype(np.int16)
+        return np.zeros(0, np.int64), np.zeros(0, np.int16)
+    return np.concatenate(sigs).view(np.int64), np.concatenate(metas)
+
+
+def histogram(found: np.ndarray) -> bytes:
+    """How many elements fall into each of 256 cells, 255 for that many or more."""
+    return np.minimum(np.bincount((found >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
 def _identity(found: np.ndarray) -> int:
@@ -137,13 +142,13 @@ def _identity(found: np.ndarray) -> int:
 
 
 def _memberships(docs: DataFrame, key: str, text_col: str, size: int) -> DataFrame:
-    """key, n (set size), c (class: a hash of the set, null where it is empty)."""
+    """key, n (set size), c (class: a hash of the set, null where it is empty), v (its histogram)."""
 
     def compute(texts: list[str]) -> dict[str, list]:
         sets = [shingle_set(t, size) for t in texts]
-        return {"n": [len(s) for s in sets], "c": [_identity(s) if len(s) else None for s in sets]}
+        return {"n": [len(s) for s in sets], "c": [_identity(s) if len(s) else None for s in sets], "v": [histogram(s) if len(s) else None for s in sets]}
 
-    out = T.StructType([T.StructField("n", T.LongType()), T.StructField("c", T.LongType())])
+    out = T.StructType([T.StructField("n", T.LongType()), T.StructField("c", T.LongType()), T.StructField("v", T.BinaryType())])
     return map_texts(docs, [key], text_col, out, compute)
 
 
@@ -156,40 +161,45 @@ def _of_classes(docs: DataFrame, wanted: DataFrame, schema: T.StructType, make)
     rows = docs.join(right, F.col("id").eqNullSafe(F.col("wid"))).select("wc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield from make(c, text.as_py() or "", arrow)
+                held += make(c, text.as_py() or "", arrow)
+                if sum(map(len, held)) > 100_000 or len(held) >= 200:
+                    yield from pa.Table.from_batches(held, arrow).combine_chunks().to_batches()
+                    held = []
+        yield from pa.Table.from_batches(held, arrow).combine_chunks().to_batches()
 
     return rows.mapInArrow(run, schema)
 
 
 def _grouped(sigs: DataFrame) -> DataFrame:
-    """a, b: candidate pairs; for members of large groups also rows with sig, part, spare (b is null)."""
+    """a, b: candidate pairs; for members of large groups also rows with sig and meta (b is null)."""
     schema = T.StructType(
-        [T.StructField(n, t) for n, t in (("a", T.LongType()), ("b", T.LongType()), ("sig", T.LongType()), ("part", T.IntegerType()), ("spare", T.ShortType()))]
+        [T.StructField(n, t) for n, t in (("a", T.LongType()), ("b", T.LongType()), ("sig", T.LongType()), ("meta", T.ShortType()))]
     )
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], []]
         group: list[tuple] = []  # of one signature, its first ALL_PAIRS + 1 at most
         leader = sig = None
         big = False
 
-        def add(a, b, s=None, p=None, e=None):
+        def add(a, b, s=None, m=None):
             if b is not None:
                 if a == b or (a, b) in told:
                     return
                 if len(told) >= REMEMBERED:
                     told.clear()
                 told.add((a, b))
-            for column, v in zip(out, (a, b, s, p, e), strict=True):
+            for column, v in zip(out, (a, b, s, m), strict=True):
                 column.append(v)
 
         def large(row):
             add(leader, row[0])
-            add(row[0], None, sig, row[1], row[2])
+            add(row[0], None, sig, row[1])
 
         def close():
             if not big:
@@ -210,12 +220,12 @@ def _grouped(sigs: DataFrame) -> DataFrame:
             keep = np.ones(len(s), bool)
             if len(s) > 2:
                 keep[1:-1] = same[1:] | same[:-1]
-            part, spare = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            meta = batch.column(2).to_numpy()
             for i in np.flatnonzero(keep).tolist():
                 if s[i] != sig:
                     close()
                     sig, group, big, leader = int(s[i]), [], False, int(c[i])
-                row = (int(c[i]), int(part[i]), int(spare[i]))
+                row = (int(c[i]), int(meta[i]))
                 if group and group[-1][0] == row[0]:
                     continue
                 if big:
@@ -236,13 +246,29 @@ def _grouped(sigs: DataFrame) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(run, schema)
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and histograms do not exclude a link: what two sets share is
+    at most the sum, over cells, of the smaller counts."""
+    one, two = (classes.select(F.col("c").alias(c), F.col("n").alias(n), F.col("v").alias(v)) for c, n, v in (("a", "m", "x"), ("b", "n", "y")))
+    near = pairs.join(two, "b").join(one, "a").where(F.least("m", "n") * 100 >= F.greatest("m", "n") * percent)
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(rows, 256) for i in (2, 3))
+            sizes = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            full = (x == 255).any(axis=1) | (y == 255).any(axis=1)
+            yield batch.select([0, 1]).filter(pa.array(full | (100 * most >= percent * (sizes - most))))
+
+    return near.select("a", "b", "x", "y", "m", "n").mapInArrow(run, schema)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     one, two = sets.select(F.col("c").alias("a"), F.col("found").alias("x")), sets.select(F.col("c").alias("b"), F.col("found").alias("y"))
-    near = pairs.join(two, "b").withColumn("m", F.length("y"))
-    near = near.join(one, "a")
-    short, long = F.least(F.length("x"), "m"), F.greatest(F.length("x"), "m")
-    near = near.where(short * 100 >= long * percent).select("a", "b", "x", "y")
+    near = pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,23 +318,21 @@ def jaccard_components(
     folder = SharedFolder(spark, "jaccard")
     texts = docs.select(F.col(key).alias("id"), F.col(text_col).alias("text"))
     members = folder.save(_memberships(texts, "id", "text", size), "members")
-    classes = folder.save(members.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("id")), "classes")
+    classes = folder.save(members.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("v").alias("v")), "classes")
     bands = Bands(percent)
 
     def sign(c, text, arrow):
         found = shingle_set(text, size)
         if len(found) and _identity(found) == c:  # rows may share a key
-            sig, part, spare = signatures(found, bands)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), c)), pa.array(part), pa.array(spare)], schema=arrow)
+            sig, meta = signatures(found, bands)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), c)), pa.array(meta)], schema=arrow)
 
-    fields = [("sig", T.LongType()), ("c", T.LongType()), ("part", T.IntegerType()), ("spare", T.ShortType())]
+    fields = [("sig", T.LongType()), ("c", T.LongType()), ("meta", T.ShortType())]
     sigs = _of_classes(texts, classes, T.StructType([T.StructField(n, t) for n, t in fields]), sign)
     grouped = folder.save(_grouped(sigs), "grouped")
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = folder.save(ordered(grouped.where("b IS NOT NULL")), "pairs")
-    large = grouped.where("b IS NULL").select(F.col("a").alias("c"), "sig", "part", "spare")
-
-    needed = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).unionByName(large.select("c")).distinct()
+    large = grouped.where("b IS NULL").select(F.col("a").alias("c"), "sig", "meta")
 
     def whole(c, text, arrow):
         found = shingle_set(text, size)
@@ -316,23 +340,27 @@ def jaccard_components(
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([found.tobytes()], pa.binary())], schema=arrow)
 
     kept = T.StructType([T.StructField("c", T.LongType()), T.StructField("found", T.BinaryType())])
-    sets = folder.save(_of_classes(texts, classes.join(needed, "c", "left_semi"), kept, whole).dropDuplicates(["c"]), "sets")
-    links = folder.save(_verified(pairs, sets, percent), "links")
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        near = folder.save(_possible(pairs, classes, percent), f"{label}-near")
+        needed = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).distinct()
+        wanted = folder.save(classes.join(needed, "c", "left_semi").select("c", "id"), f"{label}-wanted")
+        # Rows that share a key can give a set twice, which only repeats a link.
+        return folder.save(_verified(near, _of_classes(texts, wanted, kept, whole), percent), label)
+
+    links = verified(pairs, "links")
     roots = components(links, folder, "first")
 
     # Large groups that span components, of sets that cannot leave them all out.
-    rooted = large.join(roots, "c", "left").select("c", "sig", "part", "spare", F.coalesce("root", "c").alias("root"))
+    rooted = large.join(roots, "c", "left").select("c", "sig", "meta", F.coalesce("root", "c").alias("root"))
     mixed = rooted.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("sig")
     hot = folder.save(rooted.join(mixed, "sig"), "hot")
-    bound = (
-        hot.groupBy("c", F.pmod("part", F.lit(2)).alias("step"))
-        .agg(F.count_distinct("part").alias("parts"), F.min("spare").alias("spare"))
-        .where("spare < parts").select("c", "step")
-    )
-    rest = hot.withColumn("step", F.pmod("part", F.lit(2))).join(bound, ["c", "step"]).select("c", "sig", "root")
+    parts = F.count_distinct(F.col("sig").bitwiseAND(0xFFFF))
+    bound = hot.groupBy("c", "meta").agg(parts.alias("parts")).where(F.floor(F.col("meta") / 2) < F.col("parts")).select("c", "meta")
+    rest = hot.join(bound, ["c", "meta"]).select("c", "sig", "root")
     other = rest.select(F.col("c").alias("d"), "sig", F.col("root").alias("r"))
     across = rest.join(other, "sig").where("root < r").select(F.col("c").alias("a"), F.col("d").alias("b"))
-    more = folder.save(_verified(ordered(across), sets, percent), "more")
+    more = verified(ordered(across), "more")
     if more.limit(1).count():
         roots = components(links.unionByName(more), folder, "second")
 

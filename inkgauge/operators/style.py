@@ -61,13 +61,13 @@ SCRIPTS = {
 }
 
 
-def detect_language(docs: DataFrame) -> DataFrame:
-    """doc_id, status (ok, too_short, unsupported, unknown), code, top: narrow, no shuffle."""
+def detected(docs: DataFrame) -> DataFrame:
+    """doc_id, text, status (ok, too_short, unsupported, unknown), code, top: narrow, no shuffle."""
     d = normalised(docs)
     head = F.substring("text", 1, 4000)
     tokens = F.slice(words(F.lower(F.substring("text", 1, 60000))), 1, 6000)
     d = d.select(
-        "doc_id", F.substring("text", 1, 20000).alias("s"), tokens.alias("tok"),
+        "doc_id", "text", F.substring("text", 1, 20000).alias("s"), tokens.alias("tok"),
         *[F.regexp_count(head, F.lit(f"[{v}]")).alias(f"n_{k}") for k, v in SCRIPTS.items()],
     )
     n = F.size("tok")
@@ -85,16 +85,28 @@ def detect_language(docs: DataFrame) -> DataFrame:
     # Ties go to the language that is listed first.
     order = {c: i for i, c in enumerate(V.VOTES)}
     best = F.array_max(F.array(*[F.struct(F.round(score(c), 9).alias("s"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for c, i in order.items()]))
-    d = d.select("doc_id", n.alias("n"), ((foreign > F.col("n_latin")) & (foreign > 0.35 * total)).alias("strange"), best.alias("best"))
+    d = d.select("doc_id", "text", n.alias("n"), ((foreign > F.col("n_latin")) & (foreign > 0.35 * total)).alias("strange"), best.alias("best"))
     status = (
         F.when(F.col("strange"), "unsupported").when(F.col("n") < 20, "too_short").when(F.col("best.s") < 0.035, "unknown")
         .when(F.col("best.c").isin(*LANGUAGES), "ok").otherwise("unsupported")
     )
-    return d.select("doc_id", status.alias("status"), F.col("best.c").alias("c"), F.round("best.s", 6).alias("top")).select(
-        "doc_id", "status", F.when(F.col("status") == "ok", F.col("c")).alias("code"), F.when(F.col("status").isin("ok", "unknown"), F.col("top")).alias("top")
+    return d.select("doc_id", "text", status.alias("status"), F.col("best.c").alias("c"), F.round("best.s", 6).alias("top")).select(
+        "doc_id", "text", "status", F.when(F.col("status") == "ok", F.col("c")).alias("code"), F.when(F.col("status").isin("ok", "unknown"), F.col("top")).alias("top")
     )
 
 
+def detect_language(docs: DataFrame) -> DataFrame:
+    """doc_id, status, code, top."""
+    return detected(docs).drop("text")
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """doc_id, text, code of the documents that are measured: short ones count as English, refused ones are left out."""
+    # A filter on status would be pushed below and work the detection out again for each mention of it.
+    kept = F.when(F.col("status").isin("ok", "too_short"), F.array(F.struct("text", F.coalesce("code", F.lit("en")).alias("code"))))
+    return detected(docs).select("doc_id", F.explode_outer(kept).alias("x")).where("x IS NOT NULL").select("doc_id", "x.text", "x.code")
+
+
 def word_freq(docs: DataFrame) -> DataFrame:
     """doc_id, word, n."""
     d = normalised(docs)
@@ -136,12 +148,15 @@ def _boundary(code: str) -> str:
     return rf"(?=[.!?…])(?<![.!?…])(?:[!?…]{tail}|\.(?:(?<!\d\.)(?={tail}{low})|(?<=\d\.)(?={tail}(?!\s*\d){low})){known}{tail})"
 
 
+def split_sentences(text: Column, code: Column) -> Column:
+    """The text's sentences as an array: segments with a letter. Languages not scored split as English."""
+    marked = by_language(code, {c: F.regexp_replace(text, F.lit(_boundary(c)), F.lit("$0\u0001")) for c in LANGUAGES})
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.regexp_like(x, F.lit(r"\p{L}")))
+
+
 def sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, code, sent_idx, sentence: segments with a letter. Languages not scored split as English."""
-    d = normalised(docs).alias("d").join(detect_language(docs).select("doc_id", "code"), "doc_id")
-    marked = by_language(F.col("code"), {c: F.regexp_replace("text", F.lit(_boundary(c)), F.lit("$0\u0001")) for c in LANGUAGES})
-    parts = F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.regexp_like(x, F.lit(r"\p{L}")))
-    return d.select("doc_id", "code", F.posexplode(parts).alias("sent_idx", "sentence"))
+    """doc_id, code, sent_idx, sentence of the documents that are measured; narrow."""
+    return scored(docs).select("doc_id", "code", F.posexplode_outer(split_sentences(F.col("text"), F.col("code"))).alias("sent_idx", "sentence")).where("sent_idx IS NOT NULL")
 
 
 def rhythm(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..functions import fixed_values as V
+from pyspark.sql import functions as F
+
+from ..operators import signals as G
 from ..operators import style as S
 
 QUERIES = {
@@ -18,6 +20,41 @@ QUERIES = {
     }.items()
 }
 
+
+
+def _measured(make):
+    """A query over the documents and the lexicon made from them."""
+
+    def run(spark, sf_dir):
+        docs = S.read(spark, sf_dir)
+        return make(docs, G.corpus_lexicon(docs))
+
+    return run
+
+
+def _long(docs, lexicon):
+    rows = G.signals_long(G.document_signals(docs, lexicon))
+    return rows.select("doc_id", "code", "signal", "family", "held", *[F.round(c, 6).alias(c) for c in ("value", "dev", "evidence", "weight")])
+
+
+def _scores(docs, lexicon):
+    wide = G.document_signals(docs, lexicon)
+    return G.index_scores(wide, G.signals_long(wide))
+
+
+QUERIES |= {
+    "mattr": lambda spark, sf_dir: G.mattr(S.read(spark, sf_dir)).select("doc_id", F.round("mattr", 6).alias("mattr")),
+    "rep5": lambda spark, sf_dir: G.rep5(S.read(spark, sf_dir)).select("doc_id", F.round("rep5", 6).alias("rep5")),
+    "top_grams": lambda spark, sf_dir: G.top_grams(S.read(spark, sf_dir)),
+    "register_hits": lambda spark, sf_dir: G.register_hits(S.read(spark, sf_dir)),
+    "sentence_scores": _measured(lambda docs, lexicon: G.sentence_scores(G.sentence_features(docs, lexicon))),
+    "trace_buckets": _measured(lambda docs, lexicon: G.trace_buckets(G.sentence_features(docs, lexicon))),
+    "signals_long": _measured(_long),
+    "index_score": _measured(_scores),
+    "family_scores": _measured(lambda docs, lexicon: G.family_scores(G.signals_long(G.document_signals(docs, lexicon)))),
+    "findings_top4": _measured(lambda docs, lexicon: G.findings(G.signals_long(G.document_signals(docs, lexicon)))),
+}
+
 _TEXT = "(SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text FROM documents)"
 _FREQ = f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{S.WORD.replace(chr(39), chr(39) * 2)}')) AS word FROM {_TEXT}) GROUP BY ALL"
 

@@ -24,7 +24,7 @@ BROADCAST_ROWS = 200_000
 SHIFT, SLOPE, RANKS = 2.7, 1.07, 60_000
 SCALE = 0.97 / sum((r + SHIFT) ** -SLOPE for r in range(1, RANKS + 1))
 
-_SPACE = r"[\s   -     　﻿]"
+_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkgauge.llm.common import SharedFolder, read_table
 from inkgauge.llm.jaccard_join import keep_one_of_each
-from inkgauge.llm.line_dedup import dedup_lines
+from inkgauge.llm.line_dedup import dedup_passages
 from inkgauge.llm.packing import pack_documents
 from inkgauge.llm.secrets import redact
 from inkgauge.llm.toxicity import drop_toxic, train
@@ -18,8 +18,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repetitions of runs of lines are deleted from texts."""
-    return dedup_lines(docs)
+    """Later repetitions of passages, in whole lines or spliced into others, are deleted from texts."""
+    return dedup_passages(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

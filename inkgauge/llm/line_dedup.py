@@ -12,10 +12,18 @@ whose content was seen at an earlier position (smaller key, or earlier line) are
 
 Positions are aggregated per fingerprint before they are joined, and the joins are salted:
 no line, however common, gathers its positions in one task or meets itself in pairs.
+
+``dedup_passages`` does the same over words, whatever lines they stand in, so it also deletes
+passages that are spliced into other lines. Every window of ``PASSAGE`` words has as its
+fingerprint the smallest hash of ``PRINT`` words in it. Neighbouring windows with the same
+fingerprint are a run; equal runs are found whole, and only where one fingerprint has runs that
+differ are their windows compared, by the hash of all their words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +36,9 @@ MIN_WORDS = 50
 SALTS = 16
 #: A table of so many rows at most is broadcast to find the documents that lose lines.
 BROADCAST_ROWS = 500_000
+#: Words of a window of a passage, and of the hashes that its fingerprint is the smallest of.
+PASSAGE, PRINT = 50, 16
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def _unit_lines(docs: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -116,6 +127,128 @@ def dedup_lines(
     return joined.select(*out)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _over(values: Column, shifts: Sequence[int], made: Callable[..., Column]) -> Column:
+    """``made`` of the values at each place and at ``shifts`` after it, as far as all are there."""
+    count = F.size(values) - max(shifts)
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: made(*[F.get(values, i + s) for s in shifts]))
+
+
+def _with_windows(docs: DataFrame) -> DataFrame:
+    """Adds prints and bodies, of the PASSAGE words from each word on: fingerprints and hashes."""
+
+    def windows(of_print: Column) -> Column:
+        fours = _over(of_print, (0, 1, 2, 3), F.least)
+        least = _let(fours, lambda x: _over(x, (0, 4, 8, 12), F.least))
+        return F.struct(
+            _let(least, lambda x: _over(x, (0, 16, PASSAGE - 2 * PRINT + 1), F.least)).alias("prints"),
+            _over(of_print, (0, PRINT, 2 * PRINT, PASSAGE - PRINT), F.xxhash64).alias("bodies"),
+        )
+
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    fours = _let(hashes, lambda x: _over(x, (0, 1, 2, 3), F.xxhash64))
+    prints = _let(fours, lambda x: _over(x, (0, 4, 8, 12), F.xxhash64))
+    # Generated rows are computed once, however often they are used.
+    return docs.select("*", F.inline(F.array(_let(prints, windows))))
+
+
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k, t, ranges: the words to delete, numbers from low to below high, a row for each document that has some."""
+    folder = SharedFolder(docs.sparkSession, "passages")
+    texts = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+
+    def runs(prints: Column) -> Column:
+        """Runs of windows with one fingerprint: print, low (its first window), to (the next run), body."""
+        begun = F.filter(F.sequence(F.lit(0), F.size(prints) - 1), lambda i: (i == 0) | (F.get(prints, i) != F.get(prints, i - 1)))
+
+        def run(begun: Column, i: Column, n: Column) -> Column:
+            to = F.coalesce(F.get(begun, n + 1), F.size(prints))
+            return F.struct(F.get(prints, i).alias("print"), i.alias("low"), to.alias("to"), F.xxhash64(F.slice("bodies", i + 1, to - i)).alias("body"))
+
+        return _let(begun, lambda b: F.transform(b, lambda i, n: run(b, i, n)))
+
+    # Where a document repeats itself, all its windows are compared.
+    itself = F.size(F.array_distinct("bodies")) < F.size("bodies")
+    made = _with_windows(texts).where(F.size("prints") > 0).select("k", "t", itself.alias("itself"), F.inline(runs(F.col("prints"))))
+    found = folder.save(made, "runs")
+    # Whole runs first: of equal ones only the first has windows that are not repeated.
+    here = F.struct("k", "t", "low")
+    equal = found.groupBy("print", "body").agg(F.min(F.struct("k", "t", "low", "to")).alias("x"), F.max(here).alias("last"), F.bool_or("itself").alias("itself"))
+    equal = folder.save(equal.select("print", "body", "x.*", F.struct("x.k", "x.t", "x.low").alias("first"), "last", "itself"), "equal")
+    firsts = equal.where(~F.col("first").eqNullSafe(F.col("last"))).select("print", "body", "first")
+    later = _salted(found, firsts, ["print", "body"]).where(~F.col("first").eqNullSafe(here))
+    lost = folder.save(later.select("k", "t", "low", (F.col("to") - 1 + PASSAGE).alias("high")), "whole")
+
+    # Then the windows of first runs whose fingerprint other runs have, too.
+    mixed = equal.groupBy("print").agg(F.count("*").alias("n"), F.bool_or("itself").alias("itself")).where("n > 1 OR itself").select("print")
+    wanted = _salted(equal.drop("itself"), mixed, ["print"]).groupBy("k", "t").agg(F.collect_list(F.struct("low", "to")).alias("runs"))
+    wanted = wanted.withColumnsRenamed({"k": "mk", "t": "mt"})
+    whole = texts.join(wanted, F.col("k").eqNullSafe(F.col("mk")) & (F.col("t") == F.col("mt")))
+    windows = F.flatten(
+        F.transform("runs", lambda r: F.transform(F.sequence(r["low"], r["to"] - 1), lambda i: F.struct(i.alias("low"), F.get("bodies", i).alias("body"))))
+    )
+    windows = folder.save(_with_windows(whole).select("k", "t", F.inline(windows)), "windows")
+    bodies = windows.groupBy("body").agg(F.min(here).alias("first"), F.max(here).alias("last"))
+    firsts = bodies.where(~F.col("first").eqNullSafe(F.col("last"))).select("body", "first")
+    later = _salted(windows, firsts, ["body"]).where(~F.col("first").eqNullSafe(here))
+    lost = lost.unionByName(later.select("k", "t", "low", (F.col("low") + PASSAGE).alias("high")))
+    doc = Window.partitionBy("k", "t").orderBy("low")
+    apart = F.coalesce(F.col("low") > F.max("high").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    parts = lost.withColumn("apart", apart.cast("int")).withColumn("part", F.sum("apart").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranges = parts.groupBy("k", "t", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return folder.save(ranges.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("ranges")), "lost")
+
+
+def _without(text: Column, ranges: Column) -> Column:
+    """The text without those words. Of the white space around a deleted range one side stays: that
+    before it if it has a line end, else that after it; none where nothing is left on one side."""
+
+    def cut(words: Column) -> Column:
+        def part(i: Column) -> Column:
+            begin = F.coalesce(F.get(ranges, i - 1)["high"], F.lit(0))
+            end = F.coalesce(F.get(ranges, i)["low"], F.size(words))
+            kept = F.array_join(F.slice(words, begin + 1, end - begin), "")
+            space = F.regexp_extract(F.get(words, F.get(ranges, i)["high"] - 1), f"({SPACE}*)\\z", 1)
+            stays = F.regexp_like(kept, F.lit(rf"\n{SPACE}*\z")) & (F.get(ranges, i)["high"] < F.size(words))
+            return F.when((i == F.size(ranges)) | (end == 0) | stays, kept).otherwise(F.concat(F.regexp_replace(kept, f"{SPACE}+\\z", ""), space))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(ranges)), part), "")
+
+    # Every word with the white space after it.
+    words = F.regexp_extract_all(text, F.lit(f"{WORD}{SPACE}*"), F.lit(0))
+    return F.concat(F.regexp_extract(text, f"\\A({SPACE}*)", 1), _let(words, cut))
+
+
+def dedup_passages(docs: DataFrame, key: str = "doc_id", text_col: str = "text", removed: str | None = None) -> DataFrame:
+    """The rows and columns of ``docs``, with repeated runs of PASSAGE words or more deleted from texts.
+
+    Words are told apart by white space, in lines and across them. A word goes if it lies in
+    PASSAGE words that stand at an earlier position, by key (nulls first) and word, too; a run
+    that overlaps its own earlier copy keeps what the copy does not cover. Whatever
+    ``dedup_lines`` deletes goes, too. With ``removed``, a column of that name counts the words.
+    Keys, null texts, repeated rows and extra columns are treated as there.
+    """
+    lost = repeated_passages(docs, key, text_col).withColumnsRenamed({"k": "lk", "t": "lt"})
+    names = docs.columns
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).alias("k"), F.xxhash64(F.col(text_col)).alias("t"))
+    if lost.count() <= BROADCAST_ROWS:
+        lost = F.broadcast(lost)
+    joined = whole.join(lost, F.col("k").eqNullSafe(F.col("lk")) & (F.col("t") == F.col("lt")), "left")
+    text = F.col("row")[text_col]
+    made = F.when(F.col("ranges").isNull(), text).otherwise(_without(text, F.col("ranges")))
+    out = [(made if c == text_col else F.col("row")[c]).alias(c) for c in names]
+    if removed:
+        words = F.aggregate("ranges", F.lit(0), lambda n, r: n + r["high"] - r["low"])
+        out.append(F.coalesce(words, F.lit(0)).cast("long").alias(removed))
+    return joined.select(*out)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs, removed="n_removed").select("doc_id", "n_removed", "text")

@@ -131,6 +131,51 @@ def test_line_dedup_equals_its_sql(spark):
     assert L.dedup_lines(docs.limit(0)).count() == 0
 
 
+def passages_by_hand(rows):
+    """doc_id to the words that stay, of rows with distinct keys."""
+    first, gone = {}, defaultdict(set)
+    for key, text in sorted(rows, key=lambda r: r[0]):
+        words = (text or "").encode().split()
+        for i in range(len(words) - 49):
+            if first.setdefault(tuple(words[i : i + 50]), (key, i)) != (key, i):
+                gone[key].update(range(i, i + 50))
+    return {k: [w for i, w in enumerate((t or "").encode().split()) if i not in gone[k]] for k, t in rows}
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(12)
+    own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    passages = [own(n) for n in (20, 49, 50, 51, 70, 160)]
+    rows = [(0, None), (1, ""), (2, "\n \n"), (3, "short"), (4, "w " * 200), (5, "a b c\n" * 40)]
+    for i in range(6, 80):
+        words = own(rng.randrange(4))
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(passages)
+            a = rng.randrange(12)
+            words += p[a if rng.random() < 0.4 else 0 :] + own(rng.choice([0, 1, 5, 60]))
+        rows.append((i, "".join(w + rng.choice([" ", " ", " ", "  ", "\n", "\t\n"]) for w in words)))
+    docs = spark.createDataFrame([(k, t, "m") for k, t in rows], "doc_id long, text string, runs string")
+    got = L.dedup_passages(docs, removed="n")
+    assert got.columns == ["doc_id", "text", "runs", "n"]
+    want, found = passages_by_hand(rows), {r["doc_id"]: r for r in got.collect()}
+    for key, text in rows:
+        assert (found[key]["text"] or "").encode().split() == want[key], key
+        assert found[key]["n"] == len((text or "").split()) - len(want[key])
+    assert found[0]["text"] is None and found[2]["text"] == rows[2][1]
+    twice = L.dedup_passages(docs.unionByName(docs.where("doc_id IN (6, 7)"))).collect()
+    assert sorted(r["text"] for r in twice if r["doc_id"] == 7) == [found[7]["text"]] * 2
+    assert L.dedup_passages(docs.limit(0)).count() == 0
+
+
+def test_pipeline_deletes_spliced_passages(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"one start {passage} one end"), (2, f"two\nlines {passage.replace('p30 ', 'p30' + chr(10))} last\nline"), (3, f"a\n{passage}\nb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(map(tuple, pipeline.without_repeated_lines(spark, docs, "").collect()))
+    assert got == {1: rows[0][1], 2: "two\nlines last\nline", 3: "a\nb"}
+
+
 # ---- nearest neighbours ----------------------------------------------------------------------
 
 

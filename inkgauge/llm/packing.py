@@ -31,6 +31,8 @@ from .common import SLICE_CHARS, SharedFolder, read_table, tokenizer_path
 
 #: Entries of the table of distinct words that a worker keeps; beyond, it starts anew.
 TABLE_ENTRIES = 400_000
+#: So many of the emptiest patterns are tried as partners before the index of all.
+NEAREST = 48
 #: White space on both sides of a space, where words cannot be told apart alone.
 _JOINED = re.compile(r"\s (?:\s|$)")
 
@@ -144,7 +146,7 @@ def tokenised_pieces(
 class PackingPlan:
     """Patterns with multiplicities for a histogram of lengths."""
 
-    def __init__(self, histogram: dict[int, int], capacity: int, rounds: int = 60):
+    def __init__(self, histogram: dict[int, int], capacity: int):
         if any(not 0 < n <= capacity for n in histogram):
             raise ValueError("lengths lie from 1 to the capacity")
         self.capacity = capacity
@@ -152,7 +154,7 @@ class PackingPlan:
         self.bins: Counter[tuple[int, ...]] = Counter()
         self._best_fit(histogram)
         self.first = sum(self.bins.values())
-        self._search(rounds)
+        self._search()
 
     def __len__(self) -> int:
         return sum(self.bins.values())
@@ -211,44 +213,83 @@ class PackingPlan:
             if made := tuple(sorted((*left, *more), reverse=True)):
                 self.bins[made] += n
 
-    def _search(self, rounds: int) -> None:
+    def _search(self) -> None:
         """Exchanges between underfull sequences while the number is above the bound.
 
         A fuller sequence a takes from an emptier one b whatever leaves a with the least room:
         a document for nothing, one for one, or one for two of its own (or two for one). Each
         exchange takes tokens from the emptier to the fuller, so squared fill increases and
-        the search ends; ``rounds`` only bounds the passes of a slow ending.
+        the search ends: at the bound, or where no exchange of any two sequences gains. The
+        ``NEAREST`` emptiest are tried first, then all others through an index of what they hold.
         """
-        for _ in range(rounds):
-            if len(self) <= self.bound:
-                return
+        changed = True
+        while changed and len(self) > self.bound:
             under = sorted((p for p in self.bins if sum(p) < self.capacity), key=lambda p: (-sum(p), p))
             changed = False
             emptiest = under[::-1]
+            index = None
             for a in under:
                 room = self.capacity - sum(a)
-                for b in emptiest[:48]:
-                    if self.bins[a] < 1 + (a == b) or not self.bins[b] or sum(b) > sum(a):
+                for b in emptiest[:NEAREST]:
+                    if not self._partners(a, b):
                         continue
                     best = self._exchange(a, b, room)
                     if best:
-                        self._replace(a, b, *best)
-                        changed = True
                         break
-            if not changed:
-                return
+                else:
+                    if len(emptiest) <= NEAREST or not self.bins[a]:
+                        continue
+                    index = index or self._holders(emptiest)
+                    b = self._partner(a, room, *index)
+                    if b is None:
+                        continue
+                    best = self._exchange(a, b, room)
+                self._replace(a, b, *best)
+                changed = True
+
+    def _partners(self, a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+        """Whether there are such sequences still, and a is no emptier than b."""
+        return self.bins[a] >= 1 + (a == b) and self.bins[b] > 0 and sum(b) <= sum(a)
+
+    @staticmethod
+    def _holders(emptiest: list[tuple[int, ...]]) -> tuple[tuple[list[int], dict[int, list]], tuple[list[int], dict[int, list]]]:
+        """The patterns that hold a length, and those that hold a length or a sum of two, emptiest first."""
+        ones, both = {}, {}
+        for p in emptiest:
+            single = set(p)
+            for x in single:
+                ones.setdefault(x, []).append(p)
+            for x in single | {sum(g) for g in _pairs(p)}:
+                both.setdefault(x, []).append(p)
+        return (sorted(ones), ones), (sorted(both), both)
+
+    def _partner(self, a: tuple[int, ...], room: int, ones: tuple[list[int], dict[int, list]], both: tuple[list[int], dict[int, list]]) -> tuple[int, ...] | None:
+        """Who gives a the largest gain that its room allows."""
+        found, most = None, 0
+        for out in [(), *((x,) for x in set(a)), *_pairs(a)]:
+            keys, held = ones if len(out) == 2 else both
+            less = sum(out)
+            at = bisect_left(keys, less + room + 1) - 1
+            while at >= 0 and keys[at] - less > most:
+                b = next((b for b in held[keys[at]] if self._partners(a, b)), None)
+                if b is not None:
+                    found, most = b, keys[at] - less
+                    break
+                at -= 1
+            if most == room:
+                break
+        return found
 
     @staticmethod
     def _exchange(a: tuple[int, ...], b: tuple[int, ...], room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
         """What a gives and what it gets: the largest gain that its room allows."""
         ones_a, ones_b = sorted(set(a)), sorted(set(b))
-        pairs = lambda p: sorted({(x, y) for i, x in enumerate(p) for y in p[i + 1 :]}, key=sum)[:400]
         gives = [(), *((x,) for x in ones_a)]
         best, most = None, 0
-        gets = [(x,) for x in ones_b] + pairs(b)
+        gets = [(x,) for x in ones_b] + _pairs(b)
         sums = sorted((sum(g), g) for g in gets)
         keys = [s for s, _ in sums]
-        for out in gives + pairs(a):
+        for out in gives + _pairs(a):
             limit = room + sum(out)
             at = bisect_left(keys, limit + 1) - 1
             while at >= 0 and len(out) == 2 and len(sums[at][1]) == 2:
@@ -260,6 +301,13 @@ class PackingPlan:
         return best
 
 
+def _pairs(pattern: tuple[int, ...]) -> list[tuple[int, int]]:
+    """The pairs of lengths in a pattern, smallest sums first."""
+    held = Counter(pattern)
+    sizes = sorted(held, reverse=True)
+    return sorted(((x, y) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or held[x] > 1), key=sum)
+
+
 def placements(plan: PackingPlan) -> dict[str, np.ndarray]:
     """The plan as rows by length and rank: ranks from ``low`` on go to sequences from ``first``
     on, ``per`` in each, the first of them at ``offset``."""

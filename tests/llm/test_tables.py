@@ -73,6 +73,20 @@ def test_packing_search_never_loses_documents():
         assert dict(held) == histogram and plan.bound <= len(plan) <= plan.first
 
 
+def test_packing_search_ends_where_no_exchange_gains():
+    # Lengths that lie alone with little room, and sequences of three that exchanges can fill.
+    rng = random.Random(1)
+    for _ in range(4):
+        histogram = {n: 1 for n in range(900, 960)} | {rng.randrange(250, 420): rng.randrange(1, 4) for _ in range(40)}
+        plan = P.PackingPlan(histogram, 1024)
+        under = [p for p in plan.bins if sum(p) < 1024]
+        if len(plan) > plan.bound:
+            for a in under:
+                for b in under:
+                    if sum(b) <= sum(a) and plan.bins[a] >= 1 + (a == b):
+                        assert P.PackingPlan._exchange(a, b, 1024 - sum(a)) is None
+
+
 # ---- toxicity --------------------------------------------------------------------------------
 
 

@@ -374,10 +374,26 @@ def jaccard_components(
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of ``docs`` whose key is their component's smallest."""
-    found = jaccard_components(docs.select(key, text_col), percent, key=key, text_col=text_col)
-    lost = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("__lost")).distinct()
-    return docs.join(lost, docs[key] == F.col("__lost"), "left_anti")
+    """The rows and columns of ``docs``, one row of each component of near copies.
+
+    Rows are told apart by key and text. The row with the smallest key stays, of equal keys that
+    with the smallest hash of the text; rows with a null key come last. Of repeated rows with the
+    same key and text one stays, whatever its other columns hold. Rows whose texts have no words
+    are near copies of nothing, so all of them stay, repeated ones too.
+    """
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(F.col(text_col)).alias("hash"))
+    found = jaccard_components(docs.select(row.alias("row"), F.col(text_col).alias("text")), percent, key="row", text_col="text")
+    # Keys and texts of which no row stays, or one of several.
+    counted = found.where("n_shingles > 0").groupBy("row").agg(F.count("*").alias("n"), F.first("component_id").alias("top"))
+    wrong = counted.where((F.col("row") != F.col("top")) | (F.col("n") > 1)).select("row", (F.col("row") == F.col("top")).alias("stays"))
+    folder = SharedFolder(docs.sparkSession, "keep-one")
+    wrong = folder.save(wrong.select(F.col("row.key").alias("k"), F.col("row.hash").alias("t"), "stays"), "wrong")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(F.struct(*names).alias("row"), F.col(key).alias("rk"), F.xxhash64(F.col(text_col)).alias("rt"))
+    same = F.col("rk").eqNullSafe(F.col("k")) & (F.col("rt") == F.col("t"))
+    kept = whole.join(wrong, same, "left_anti").select("row")
+    again = whole.join(wrong.where("stays"), same).groupBy("rk", "rt").agg(F.first("row").alias("row")).select("row")
+    return kept.unionByName(again).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

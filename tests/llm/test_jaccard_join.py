@@ -77,3 +77,15 @@ def test_empty_table_and_kept_columns(spark):
     rows = [(1, "a b c d e f", "x"), (2, "A B c d e f", "y"), (3, None, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
     assert sorted(r["root"] for r in keep_one_of_each(docs).collect()) == ["x", "z"]
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    near, clean, lone = text + " more", "quite another text of its own", "nothing like this has a key"
+    rows = [(1, text), (1, text), (2, near), (2, clean), (3, clean + "!"), (None, near), (None, lone), (None, lone), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, row string")
+    got = keep_one_of_each(docs)
+    assert got.columns == docs.columns
+    want = [(1, text), (2, clean), (3, clean + "!"), (None, lone), (4, None), (4, None), (5, "")]
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=str) == sorted(want, key=str)
+    assert keep_one_of_each(docs.limit(0)).count() == 0

@@ -100,17 +100,19 @@ class Best:
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
     def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        """Candidates that are already held are passed over (a vec_id counts once)."""
+        """A vec_id counts once, with its best score."""
         if not len(query):
             return
         rows = np.unique(query)
         q = np.concatenate([query, np.repeat(rows, self.k)])
         i = np.concatenate([ids, self.id[rows].ravel()])
         s = np.concatenate([score, self.score[rows].ravel()])
-        order = np.lexsort((i, -s, q))
+        order = np.lexsort((-s, i, q))
         q, i, s = q[order], i[order], s[order]
-        fresh = np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1]) | (s[1:] != s[:-1])]
+        fresh = np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])]
         q, i, s = q[fresh], i[fresh], s[fresh]
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         keep = place < self.k
         self.score[rows], self.id[rows] = -np.inf, np.iinfo(np.int64).max

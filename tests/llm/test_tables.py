@@ -216,6 +216,22 @@ def test_search_equals_brute_force(spark):
     assert N.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_counts_an_id_once(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    # An id that is near to every query, with 60 vectors.
+    rows += [(77, (x[0] * (5 + j / 10)).astype(np.float32).tolist()) for j in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = N.nearest(vectors, F.col("vec_id") == 0, k=20).collect()
+    want = {}
+    for i, v in rows[1:]:
+        score = float(N.exact_scores(x[:1].astype(np.float64), np.array([v], np.float32).astype(np.float64))[0])
+        want[i] = max(score, want.get(i, -np.inf))
+    want = sorted(want.items(), key=lambda p: (-p[1], p[0]))[:20]
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
 # ---- URL filters -----------------------------------------------------------------------------
 
 

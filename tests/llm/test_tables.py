@@ -263,6 +263,18 @@ def test_urls_are_judged_as_by_hand(spark):
     assert {r["verdict"] for r in U.judge_urls(pages, nothing).collect()} == {"allow"}
 
 
+def test_urls_with_a_long_list(spark, monkeypatch):
+    hosts = ["example.net", "a.b.example.net", "casino-win.example.com", "x.spam-farm.example.org", "free.org", ""]
+    urls = [None, "no scheme"] + [f"https://{h}{p}" for h in hosts for p in ("", "/", "/en/x", "/fr/", "/de/")]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(2, urls[2]), (None, urls[5])], "page_id long, url string")
+    want = [(i, *judged_by_hand(u, U.RULES, U.LISTED)) for i, u in enumerate(urls)]
+    want += [want[2], (None, *want[5][1:])]
+    monkeypatch.setattr(U, "BROADCAST_ENTRIES", 0)
+    got = U.judge_urls(pages, U.entry_table(spark, U.RULES, U.LISTED))
+    assert "Broadcast" not in got._jdf.queryExecution().optimizedPlan().toString() and "salt" in got._jdf.queryExecution().analyzed().toString()
+    assert rows_of(got) == sorted(want, key=repr)
+
+
 # ---- pipeline --------------------------------------------------------------------------------
 
 

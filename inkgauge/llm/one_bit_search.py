@@ -2,11 +2,13 @@
 
 Vectors are gathered in blocks. A block's vectors lose the block's mean, are rotated by a
 random orthogonal matrix, and keep one sign bit a dimension, packed, with scalars: the
-residual's length, and the inner product of the unit residual with its code. For a query,
-quantised to four bits a dimension, the inner product with a unit residual is estimated from
-bit counts of the packed codes and divided by that scalar; the estimate's error is bounded
-with a confidence that the parameter ``sigmas`` sets. Vectors whose upper bound
-reaches the twentieth exact score found so far are scored exactly, in double precision.
+residual's length, and the inner product of the unit residual with its code. The rotated query's
+inner product with a unit residual is estimated by that with the signs that a code holds,
+unpacked for a slice of a block and multiplied with all queries at once, divided by that scalar;
+the estimate's error is bounded with a confidence that the parameter ``sigmas`` sets. Vectors
+whose upper bound reaches the twentieth exact score found so far are reranked in double
+precision: by a product of the queries with those that some query wants, and those that come
+near the twentieth score exactly, component by component.
 
 Every row is indexed. Query blocks meet vector blocks in a join on block numbers; what
 travels is blocks, not pairs, and a task keeps the best ``k`` of each query of its blocks.
@@ -59,28 +61,23 @@ class CodeBlock:
         self.ones = bits.sum(axis=1)
         self.match = np.maximum(np.abs(unit).sum(axis=1) / np.sqrt(self.dim), 1e-9)  # <code, unit residual>
 
-    def estimates(self, q: np.ndarray, turn: np.ndarray, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products with queries (rows of ``q``) and the bound of their errors."""
+    def signs(self, at: slice) -> np.ndarray:
+        """The codes of some vectors, a column each, as signs divided by the root of the dimension."""
+        bits = np.unpackbits(self.codes[at].view(np.uint8), axis=1, bitorder="little")[:, : self.dim]
+        return ((bits.astype(np.float32) * 2 - 1) / np.float32(np.sqrt(self.dim))).T
+
+    def estimates(self, q: np.ndarray, turn: np.ndarray, sigmas: float, at: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products of some vectors with queries (rows of ``q``) and the bound of their errors."""
         turned = q @ turn
-        low, high = turned.min(axis=1, keepdims=True), turned.max(axis=1, keepdims=True)
-        step = np.maximum((high - low) / 15, 1e-300)
-        levels = np.clip(np.rint((turned - low) / step), 0, 15).astype(np.uint8)
-        words = self.codes.shape[1]
-        dot = np.zeros((len(q), len(self.codes)))
-        for plane in range(4):
-            bits = np.pad(levels >> plane & 1, ((0, 0), (0, words * 64 - self.dim)))
-            packed = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-            for w in range(words):
-                dot += float(1 << plane) * np.bitwise_count(packed[:, None, w] & self.codes[None, :, w])
-        # sum of the signs times the dequantised query, from the sum over set bits
-        set_sum = low * self.ones[None, :] + step * dot
-        whole = (low[:, 0] * self.dim + step[:, 0] * levels.sum(axis=1))[:, None]
-        with_code = (2 * set_sum - whole) / np.sqrt(self.dim)
-        estimate = with_code / self.match * self.length + (q @ self.mean)[:, None]
-        size = np.linalg.norm(turned, axis=1)[:, None]
-        spread = np.sqrt(np.maximum(1 - self.match**2, 0)) / self.match / np.sqrt(max(self.dim - 1, 1))
-        rounding = step * np.sqrt(self.dim) / 2 / self.match / np.sqrt(self.dim)
-        return estimate, (sigmas * (size * spread + rounding / np.sqrt(3))) * self.length + 1e-9
+        scale = (self.length[at] / self.match[at]).astype(np.float32)
+        estimate = turned.astype(np.float32) @ self.signs(at)
+        estimate *= scale
+        estimate += (q @ self.mean).astype(np.float32)[:, None]
+        size = np.linalg.norm(turned, axis=1).astype(np.float32)[:, None]
+        spread = np.sqrt(np.maximum(1 - self.match[at] ** 2, 0)) / self.match[at] / np.sqrt(max(self.dim - 1, 1))
+        # Single precision adds what its rounding can, at most, to the bound.
+        rounding = 4e-7 * self.dim * (self.length[at] / self.match[at] + np.linalg.norm(self.mean)) + 1e-9
+        return estimate, size * (sigmas * spread * self.length[at] + rounding).astype(np.float32)
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,26 +118,33 @@ class Best:
 
 def search_block(block: CodeBlock, x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, best: Best, turn: np.ndarray, sigmas: float) -> None:
     """Brings the vectors of one block into the best lists of the queries."""
-    step = max(1, (1 << 22) // max(1, len(x)))
+    step = max(1, (1 << 21) // max(1, len(x)))
     for at in range(0, len(q), step):
         part = slice(at, at + step)
         estimate, error = block.estimates(q[part], turn, sigmas)
-        own = q_ids[part, None] == ids[None, :]
-        estimate[own] = -np.inf
-        first = min(best.k, len(x))
-        top = np.argpartition(-estimate, first - 1, axis=1)[:, :first]
-        rows = np.repeat(np.arange(len(top)), first)
-        cols = top.ravel()
-        ok = ~own[rows, cols]
-        rows, cols = rows[ok], cols[ok]
-        best.add(at + rows, ids[cols], exact_scores(q[at + rows], x[cols]))
-        wanted = estimate + error >= best.score[part, -1][:, None]
-        wanted[rows, cols] = False
-        wanted &= ~own
-        rows, cols = np.nonzero(wanted)
-        for cut in range(0, len(rows), 1 << 18):
-            r, c = rows[cut : cut + (1 << 18)], cols[cut : cut + (1 << 18)]
-            best.add(at + r, ids[c], exact_scores(q[at + r], x[c]))
+        by_id = np.argsort(ids, kind="stable")
+        low, high = np.searchsorted(ids[by_id], q_ids[part], "left"), np.searchsorted(ids[by_id], q_ids[part], "right")
+        for i in np.flatnonzero(high > low).tolist():  # a query is no candidate of its own
+            estimate[i, by_id[low[i] : high[i]]] = -np.inf
+        if not np.isfinite(best.score[part, -1]).all():
+            # The first block of a query: the best by estimate give it a score to reach.
+            first = min(best.k, len(x))
+            top = np.argpartition(-estimate, first - 1, axis=1)[:, :first]
+            rows, cols = np.repeat(np.arange(len(top)), first), top.ravel()
+            ok = np.isfinite(estimate[rows, cols])
+            best.add(at + rows[ok], ids[cols[ok]], exact_scores(q[at + rows[ok]], x[cols[ok]]))
+        estimate += error
+        wanted = estimate >= (best.score[part, -1] - 1e-6 * np.abs(best.score[part, -1]))[:, None].astype(np.float32)
+        wanted &= np.isfinite(estimate)
+        some = np.flatnonzero(wanted.any(axis=0))
+        for cut in range(0, len(some), 1 << 12):
+            cols = some[cut : cut + (1 << 12)]
+            score = q[part] @ x[cols].T
+            slack = 1e-9 * (np.abs(score) + np.abs(best.score[part, -1])[:, None] + 1)
+            r, c = np.nonzero(wanted[:, cols] & ~(score + slack < best.score[part, -1][:, None]))
+            for few in range(0, len(r), 1 << 18):
+                i, j = at + r[few : few + (1 << 18)], cols[c[few : few + (1 << 18)]]
+                best.add(i, ids[j], exact_scores(q[i], x[j]))
 
 
 def _blocks(df: DataFrame, rows: int) -> DataFrame:

@@ -6,14 +6,15 @@ of lengths that fill one sequence, with the number of sequences that look so. Be
 decreasing gives the first patterns; a local search then exchanges one document for one,
 two for one, or moves one, between underfull sequences, always increasing the sum of
 squared fills, until sequences empty. Moves act on as many like sequences as there are.
-The plan is as large as the number of patterns, which depends on the capacity alone and is
-checked; documents find their places by length and rank within the length.
+The plan is as large as the number of patterns, which depends on the capacity alone;
+documents find their places by length and rank within the length.
 """
 
 from __future__ import annotations
 
+import base64
 import math
-import re
+import os
 import zlib
 from bisect import bisect_left
 from collections import Counter
@@ -30,53 +31,81 @@ from pyspark.sql.window import Window
 from .common import SLICE_CHARS, SharedFolder, read_table, tokenizer_path
 
 #: Entries of the table of distinct words that a worker keeps; beyond, it starts anew.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 600_000
 #: So many of the emptiest patterns are tried as partners before the index of all.
 NEAREST = 48
-#: White space on both sides of a space, where words cannot be told apart alone.
-_JOINED = re.compile(r"\s (?:\s|$)")
+#: Longer words are encoded, but not kept.
+LONG_WORD = 1000
 
 
 class WordEncoder:
     """Ids of whole texts, from a table of what the library gives for words with their space.
 
-    The byte-level pre-tokenizer never joins what stands before a single space with what
-    follows it, so words cut there are encoded once each. Texts with longer runs of white
-    space go to the library whole.
+    The byte-level pre-tokenizer never joins what stands before a single space or line feed with
+    what follows it, and a line feed between words stands alone, so the pieces cut there are
+    encoded once each, many at a time, parted by line feeds. Where the same vocabulary lies
+    beside the file as ranks, those are encoded by the ranks. Texts with longer runs of white
+    space, other kinds of it or special tokens go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.table: dict[str, bytes] = {}
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        if ("  " in text or not text.isascii() or not text.isprintable()) and _JOINED.search(text):
-            return self._library(text)
-        if text[-1] == " " or any(s in text for s in self.special):
-            return self._library(text)
-        table, out = self.table, []
-        words = text.split(" ")
-        for at, word in enumerate(words):
-            if at:
-                word = " " + word
-            found = table.get(word)
-            if found is None:
-                found = self._library(word)
-                if len(word) < 1000:
-                    if len(table) >= TABLE_ENTRIES:
-                        table.clear()
-                    table[word] = found
-            out.append(found)
-        return b"".join(out)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        self.many = ids
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        if ranks != path and os.path.exists(ranks):
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                held = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            self.many = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=held, special_tokens={}).encode_ordinary
+        (self.feed,) = ids("\n")
+        self.spaces = {x: np.array(ids(x), dtype="<u4").tobytes() for x in ("", " ", "\n")}
+        self.table: dict[str, bytes] = dict(self.spaces)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words, which hold no white space but one space before them."""
+        ids = np.array(self.many("\n".join(words)), dtype="<u4")
+        cuts = (4 * np.flatnonzero(ids == self.feed)).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)] if words else []
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The words with the space before them, and line feeds, or None where they can't be told apart."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text or any(s in text for s in self.special):
+            return None
+        if len("".join(text.split())) + text.count(" ") + text.count("\n") != len(text):
+            return None  # other white space
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        out: list[bytes] = [b""] * len(texts)
+        cut = []
+        for i, text in enumerate(texts):
+            words = self._cut(text)
+            if words is None:
+                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                cut.append((i, words))
+        table = self.table
+        for at in range(0, len(cut), 64):
+            part = cut[at : at + 64]
+            missing = list(set().union(*(words for _, words in part)).difference(table))
+            if len(table) + len(missing) > TABLE_ENTRIES:
+                table.clear()
+                table.update(self.spaces)
+                missing = list(set().union(*(words for _, words in part)).difference(table))
+            table.update(zip(missing, self._words(missing), strict=True))
+            for i, words in part:
+                out[i] = b"".join(map(table.__getitem__, words))
+            for word in [w for w in missing if len(w) >= LONG_WORD]:
+                del table[word]
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -88,6 +117,18 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _encoded(enc: WordEncoder, texts: pa.Array) -> Iterator[tuple[int, bytes]]:
+    """The numbers of the texts and their ids, some texts at a time."""
+    held: list[str] = []
+    chars = at = 0
+    for i, text in enumerate(texts):
+        held.append(text.as_py() or "")
+        chars += len(held[-1])
+        if chars > SLICE_CHARS // 8 or i + 1 == len(texts):
+            yield from enumerate(enc.encode(held), at)
+            held, chars, at = [], 0, i + 1
+
+
 def tokenised_pieces(
     docs: DataFrame,
     capacity: int = 1024,
@@ -120,8 +161,8 @@ def tokenised_pieces(
             keys, texts = batch.column(0), batch.column(1)
             columns: list[list] = [[] for _ in arrow]
             held = 0
-            for i in range(batch.num_rows):
-                data = enc.encode(texts[i].as_py() or "") + end
+            for i, data in _encoded(enc, texts):
+                data += end
                 n = len(data) // 4
                 start, piece, doc = 0, 0, keys[i].as_py()
                 stop = (n % capacity or capacity) if n > capacity else n
@@ -328,7 +369,7 @@ def placements(plan: PackingPlan) -> dict[str, np.ndarray]:
 def pack_pieces(pieces: DataFrame, capacity: int, salts: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces, which have a column length from 1 to the capacity.
 
-    Reads ``pieces`` three times: give a written table. Ranks within a length are dealt over
+    Reads ``pieces`` twice: give a written table. Ranks within a length are dealt over
     ``salts`` parts each, so no length, however common, lands in one task; the driver
     holds capacity x salts counts. Equal pieces are interchangeable; an empty table stays
     empty.

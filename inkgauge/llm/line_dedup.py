@@ -1,6 +1,6 @@
 """Line deduplication by winnowing over line hashes. Native: DataFrame functions only.
 
-Lines with words count; blank ones never match and stay. From every line runs the shortest
+Lines with words count; blank ones never match, and go only where a deleted run spans them. From every line runs the shortest
 *window* of lines that holds ``min_words`` words, and to every line the shortest one that
 ends there. A window's fingerprint is the smallest line hash in it, so two places that share
 ``min_words`` words of lines share a window and its fingerprint: that is the guarantee.
@@ -8,7 +8,8 @@ Fingerprints that were selected at one position only are dropped. The windows of
 are joined by fingerprint and content, each with its first position in the corpus. Windows
 that begin later in a repeated run extend its match forward, those that end earlier extend it
 backward, so the windows together cover a repeated run wholly. Lines that lie in a window
-whose content was seen at an earlier position (smaller key, or earlier line) are deleted.
+whose content was seen at an earlier position (smaller key, or earlier line) are deleted, but
+for those that the earlier position itself covers, where a text repeats itself at once.
 
 Positions are aggregated per fingerprint before they are joined, and the joins are salted:
 no line, however common, gathers its positions in one task or meets itself in pairs.
@@ -81,6 +82,13 @@ def _salted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.withColumn("salt", salt).join(spread, [*on, "salt"]).drop("salt")
 
 
+def _uncovered(high: Column) -> Column:
+    """The places of a later window, from low on, beyond those that its first position covers."""
+    itself = F.col("first")["k"].eqNullSafe(F.col("k")) & (F.col("first")["t"] == F.col("t"))
+    low = F.when(itself, F.greatest(F.col("low"), F.col("covered") + 1)).otherwise(F.col("low"))
+    return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k, t, lines: the numbers of lines to delete, a row for each document that has some."""
     folder = SharedFolder(docs.sparkSession, "line-dedup")
@@ -91,11 +99,14 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_
     matched = _salted(windows, again, ["print"])
     here = F.struct("k", "t", "low")
     # A window that starts and one that ends somewhere can be the same lines: positions tell.
-    bodies = matched.groupBy("print", "body").agg(F.min(here).alias("first"), F.max(here).alias("last"))
-    firsts = bodies.where(~F.col("first").eqNullSafe(F.col("last"))).select("print", "body", "first")
+    bodies = matched.groupBy("print", "body").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.min(F.struct("k", "t", "low", "high")).alias("x"))
+    bodies = bodies.withColumn("covered", F.col("x.high"))
+    firsts = bodies.where(~F.col("first").eqNullSafe(F.col("last"))).select("print", "body", "first", "covered")
     later = _salted(matched, firsts, ["print", "body"]).where(~F.col("first").eqNullSafe(here))
-    lost = later.select("k", "t", F.explode(F.sequence("low", "high")).alias("at")).groupBy("k", "t").agg(F.collect_set("at").alias("lines"))
-    return folder.save(lost, "lost")
+    lost = later.select("k", "t", F.explode(_uncovered(F.col("high"))).alias("at")).groupBy("k", "t").agg(F.collect_set("at").alias("lines"))
+    made = folder.save(lost, "lost")
+    folder.drop("windows")
+    return made
 
 
 def dedup_lines(
@@ -103,8 +114,8 @@ def dedup_lines(
 ) -> DataFrame:
     """The rows and columns of ``docs``, with repeated runs of ``min_words`` words deleted from texts.
 
-    The first position of a run, by key (nulls first) and line, keeps it; later ones, in the
-    same document too, lose their lines. With ``removed``, a column of that name counts them.
+    The first position of a run, by key (nulls first) and line, keeps it whole; later ones, in the
+    same document too, lose their lines, but for lines that the first position covers. With ``removed``, a column of that name counts them.
     Null texts stay null; a document can become empty. Repeated rows with the same key and
     text are one document and stay equal; same keys with different texts are told apart.
     Extra columns pass through, whatever they are called.
@@ -182,8 +193,12 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text_col: str = "tex
     equal = found.groupBy("print", "body").agg(F.min(F.struct("k", "t", "low", "to")).alias("x"), F.max(here).alias("last"), F.bool_or("itself").alias("itself"))
     equal = folder.save(equal.select("print", "body", "x.*", F.struct("x.k", "x.t", "x.low").alias("first"), "last", "itself"), "equal")
     firsts = equal.where(~F.col("first").eqNullSafe(F.col("last"))).select("print", "body", "first")
+    # What the first position covers stays, where a text repeats itself at once.
+    same = F.col("first")["k"].eqNullSafe(F.col("k")) & (F.col("first")["t"] == F.col("t"))
+    begin = F.when(same, F.greatest(F.col("low"), F.col("first")["low"] + PASSAGE)).otherwise(F.col("low"))
     later = _salted(found, firsts, ["print", "body"]).where(~F.col("first").eqNullSafe(here))
-    lost = folder.save(later.select("k", "t", "low", (F.col("to") - 1 + PASSAGE).alias("high")), "whole")
+    lost = folder.save(later.select("k", "t", begin.alias("low"), (F.col("to") - 1 + PASSAGE).alias("high")).where("low < high"), "whole")
+    folder.drop("runs")
 
     # Then the windows of first runs whose fingerprint other runs have, too.
     mixed = equal.groupBy("print").agg(F.count("*").alias("n"), F.bool_or("itself").alias("itself")).where("n > 1 OR itself").select("print")
@@ -197,12 +212,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text_col: str = "tex
     bodies = windows.groupBy("body").agg(F.min(here).alias("first"), F.max(here).alias("last"))
     firsts = bodies.where(~F.col("first").eqNullSafe(F.col("last"))).select("body", "first")
     later = _salted(windows, firsts, ["body"]).where(~F.col("first").eqNullSafe(here))
-    lost = lost.unionByName(later.select("k", "t", "low", (F.col("low") + PASSAGE).alias("high")))
+    lost = lost.unionByName(later.select("k", "t", begin.alias("low"), (F.col("low") + PASSAGE).alias("high")).where("low < high"))
     doc = Window.partitionBy("k", "t").orderBy("low")
     apart = F.coalesce(F.col("low") > F.max("high").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     parts = lost.withColumn("apart", apart.cast("int")).withColumn("part", F.sum("apart").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ranges = parts.groupBy("k", "t", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return folder.save(ranges.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("ranges")), "lost")
+    made = folder.save(ranges.groupBy("k", "t").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("ranges")), "lost")
+    for name in ("equal", "whole", "windows"):
+        folder.drop(name)
+    return made
 
 
 def _without(text: Column, ranges: Column) -> Column:
@@ -229,9 +247,9 @@ def dedup_passages(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     """The rows and columns of ``docs``, with repeated runs of PASSAGE words or more deleted from texts.
 
     Words are told apart by white space, in lines and across them. A word goes if it lies in
-    PASSAGE words that stand at an earlier position, by key (nulls first) and word, too; a run
-    that overlaps its own earlier copy keeps what the copy does not cover. Whatever
-    ``dedup_lines`` deletes goes, too. With ``removed``, a column of that name counts the words.
+    PASSAGE words that stand at an earlier position, by key (nulls first) and word, too, unless
+    that position covers it itself: a text that repeats itself at once keeps the first PASSAGE
+    words whole. What ``dedup_lines`` deletes goes, too, but for lines of such texts. With ``removed``, a column of that name counts the words.
     Keys, null texts, repeated rows and extra columns are treated as there.
     """
     lost = repeated_passages(docs, key, text_col).withColumnsRenamed({"k": "lk", "t": "lt"})
@@ -266,9 +284,9 @@ spans AS (
   UNION
   SELECT doc_id, min(ln) OVER w, ln, sum(n) OVER w, list(line) OVER w FROM units
   WINDOW w AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
-ordered AS (SELECT doc_id, low, high, row_number() OVER (PARTITION BY body ORDER BY doc_id, low) AS r
-  FROM spans WHERE words >= {MIN_WORDS}),
-lost AS (SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS ln FROM ordered WHERE r > 1)
+ordered AS (SELECT doc_id, low, high, row_number() OVER w AS r, first_value(doc_id) OVER w AS f_doc, first_value(high) OVER w AS f_high
+  FROM spans WHERE words >= {MIN_WORDS} WINDOW w AS (PARTITION BY body ORDER BY doc_id, low)),
+lost AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN f_doc = doc_id THEN greatest(low, f_high + 1) ELSE low END, high + 1)) AS ln FROM ordered WHERE r > 1)
 SELECT d.doc_id, coalesce(x.n_removed, 0) AS n_removed, CASE WHEN x.n_removed > 0 THEN coalesce(x.text, '') ELSE d.text END AS text
 FROM documents d LEFT JOIN (
   SELECT l.doc_id, count(o.ln) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.ln) FILTER (WHERE o.ln IS NULL) AS text

@@ -114,6 +114,38 @@ def test_toxicity_learns_held_out_grades(spark):
     assert X.score_toxicity(docs.limit(0), constant).count() == 0
 
 
+def test_toxicity_gradient_equals_differences():
+    rng = np.random.default_rng(1)
+    rows, cols = rng.integers(0, 30, 80), rng.integers(0, 4, 80)
+    rows, cols = (np.array(x) for x in zip(*sorted(set(zip(rows.tolist(), cols.tolist())))))
+    y, p = rng.integers(0, 3, 30), np.array([0.3, 0.1, 0.7, 0.2, 0.5, -0.3])
+    value, gradient = X.objective(p, rows, cols, y, 4)
+    held = [[c for r, c in zip(rows, cols) if r == i] for i in range(30)]
+    likelihood = 0.0
+    for i in range(30):
+        over = [1 / (1 + np.exp(t - sum(p[c] for c in held[i]))) for t in (0.5, 0.5 + np.exp(-0.3))]
+        likelihood += np.log([1 - over[0], over[0] - over[1], over[1]][y[i]])
+    penalty = X.SQUARES / 2 * (p[:4] ** 2).sum() + X.SIZES * np.sqrt(p[:4] ** 2 + 1e-4).sum()
+    assert value == pytest.approx(penalty - likelihood)
+    for i in range(6):
+        d = np.zeros(6)
+        d[i] = 1e-6
+        slope = (X.objective(p + d, rows, cols, y, 4)[0] - X.objective(p - d, rows, cols, y, 4)[0]) / 2e-6
+        assert gradient[i] == pytest.approx(slope, rel=1e-4, abs=1e-4)
+
+
+def test_toxicity_counts_features_once_a_document(spark):
+    rows = [(1, 0, 1, "nasty words, nasty"), (2, 1, 0, "words"), (3, 0, 0, ""), (4, 1, 1, "Nasty")]
+    sample = spark.createDataFrame(rows, "key long, half int, toxic int, text string")
+    found = {r["feature"]: tuple(r)[1:] for r in X.feature_counts(sample).collect()}
+    assert found["nasty"] == found["nast*"] == (0, 1, 0, 1) and found["words"] == (0, 1, 1, 0)
+    same = "copies of a text, however often they occur"
+    docs = spark.createDataFrame([(i, same + (" x" if i % 2 else "")) for i in range(9)] + [(9, None), (3, "other words with that key")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(10)] + [(None, 1), (1, 0)], "doc_id long, toxic int")
+    got = X.sampled(docs, labels, 100, "doc_id", "text").collect()
+    assert sorted(r["key"] for r in got) == [0, 3, 9]  # one of the copies, the key with another text, the empty one
+
+
 # ---- line dedup ------------------------------------------------------------------------------
 
 
@@ -145,14 +177,50 @@ def test_line_dedup_equals_its_sql(spark):
     assert L.dedup_lines(docs.limit(0)).count() == 0
 
 
+def lines_by_hand(rows, least=50):
+    """doc_id to the lines that stay, of rows with distinct keys, by all windows of lines."""
+    first, gone, held = {}, defaultdict(set), {}
+    for key, text in sorted(rows):
+        held[key] = lines = text.split("\n")
+        units = [(i, len(x.split())) for i, x in enumerate(lines) if x.split()]
+        spans = set()
+        for a in range(len(units)):
+            for step, edge in ((1, len(units)), (-1, -1)):
+                n, b = 0, a
+                while b != edge and n < least:
+                    n, b = n + units[b][1], b + step
+                if n >= least:
+                    spans.add(tuple(sorted((units[a][0], units[b - step][0]))))
+        for low, high in sorted(spans):
+            body = tuple(x for x in lines[low : high + 1] if x.split())
+            at = first.setdefault(body, (key, low, high))
+            if at[:2] != (key, low):
+                gone[key].update(range(max(low, at[2] + 1) if at[0] == key else low, high + 1))
+    return {k: "\n".join(x for i, x in enumerate(v) if i not in gone[k]) for k, v in held.items()}
+
+
+def test_a_text_that_repeats_itself_keeps_the_first_copy(spark):
+    rng = random.Random(3)
+    period = lambda n, words: [" ".join(f"{n}w{rng.randrange(10**6)}" for _ in range(words)) for _ in range(n)]
+    rows = [(1, "\n".join(["alpha beta"] * 60)), (2, "\n".join(period(5, 5) * 6)), (3, "\n\n".join(period(3, 7) * 9 + ["an end"]))]
+    block = period(9, 8)
+    rows += [(4, "\n".join(["one", *block, "two", *block[:8], "three", *block])), (5, "\n".join(block)), (6, "\n".join(["alpha beta"] * 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()}
+    assert got == lines_by_hand(rows)
+    assert [len(got[k].split()) for k in (1, 2)] == [50, 50] and got[5] == ""
+    assert dict(duck(L.OP5_SQL, documents=docs.toPandas()).project("doc_id, text").fetchall()) == got
+
+
 def passages_by_hand(rows):
     """doc_id to the words that stay, of rows with distinct keys."""
     first, gone = {}, defaultdict(set)
     for key, text in sorted(rows, key=lambda r: r[0]):
         words = (text or "").encode().split()
         for i in range(len(words) - 49):
-            if first.setdefault(tuple(words[i : i + 50]), (key, i)) != (key, i):
-                gone[key].update(range(i, i + 50))
+            at = first.setdefault(tuple(words[i : i + 50]), (key, i))
+            if at != (key, i):  # what the first position covers stays
+                gone[key].update(range(max(i, at[1] + 50) if at[0] == key else i, i + 50))
     return {k: [w for i, w in enumerate((t or "").encode().split()) if i not in gone[k]] for k, t in rows}
 
 
@@ -160,8 +228,8 @@ def test_passages_equal_brute_force(spark):
     rng = random.Random(12)
     own = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
     passages = [own(n) for n in (20, 49, 50, 51, 70, 160)]
-    rows = [(0, None), (1, ""), (2, "\n \n"), (3, "short"), (4, "w " * 200), (5, "a b c\n" * 40)]
-    for i in range(6, 80):
+    rows = [(0, None), (1, ""), (2, "\n \n"), (3, "short"), (4, "w " * 200), (5, "a b c\n" * 40), (6, " ".join(f"p{i % 30}" for i in range(170)))]
+    for i in range(7, 80):
         words = own(rng.randrange(4))
         for _ in range(rng.randrange(1, 5)):
             p = rng.choice(passages)

@@ -11,10 +11,12 @@ a choice of parts is empty, as the guarantee then holds in the others.
 
 Classes that share a signature are candidates. Groups of up to ``ALL_PAIRS`` classes give all
 pairs; larger ones first give pairs with one leader. After components are made of the verified
-links, a large group matters only where it spans several components. A set with few such
-partitions leaves those out, too (they count against the spare ones); what the others
-share is compared between components. Histograms of hashes
-exclude most candidates that are no links; the others are verified with their whole sets.
+links, a large group matters only where it spans several components. Linked sets share one
+partition more than a set may still leave out, so a set leaves out its largest such groups as far
+as it may, and what the others share is compared between components, in blocks of a
+group. Sketches (the parity of the number of elements in each cell) exclude most candidates:
+cells whose parity differs are no more than the differences of two sets. The candidates that are
+left are verified with their whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from .common import SharedFolder, map_texts, read_table
 
@@ -37,13 +40,18 @@ SHINGLE, PERCENT = 5, 80
 ALL_PAIRS = 8
 #: Distinct pairs that a task remembers so as not to repeat them; beyond, it starts anew.
 REMEMBERED = 500_000
-#: Words whose hashes a worker keeps.
-TABLE_ENTRIES = 400_000
+#: Classes that a task remembers so as not to sign for copies again; beyond, it starts anew.
+SIGNED = 300_000
+#: Members of a large group that one task compares at once with as many others.
+GROUP_ROWS = 1024
+#: A class that keeps so many signatures at most tells them all, so a pair comes from one group alone.
+TOLD_SIGS = 64
+#: Bytes of a text whose words are hashed at once; one word at least.
+HASHED = 1 << 16
 #: A table of so many rows at most (of two numbers each) is broadcast.
 BROADCAST_ROWS = 1_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
-_WORDS: dict[bytes, int] = {}
 
 
 def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -53,24 +61,78 @@ def _mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of ``size`` words; shorter texts are one shingle."""
-    import xxhash
-
-    words = text.encode("utf-8", "replace").lower().split()  # ASCII letters and white space only
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_WORDS) > TABLE_ENTRIES:
-        _WORDS.clear()
-    for w in set(words):
-        if w not in _WORDS:
-            _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    span = min(size, len(words))
-    total = np.full(len(words) - span + 1, span, np.uint64)
+_BYTES = np.arange(256, dtype=np.uint64)
+_BYTES[ord("A") : ord("Z") + 1] += np.uint64(32)
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: A random number for each byte, letters in either case alike, nothing for white space.
+_VALUES = np.where(_IS_SPACE, np.uint64(0), _mix(_BYTES, 21))
+_BASE = 0x2545F4914F6CDD1D
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[i] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))])
+    return _POWERS
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, of the sum of its bytes' numbers times powers of their places; and where it starts."""
+    found, begun, at = [], [], 0
+    raw = np.frombuffer(data, np.uint8)
+    while at < len(raw):
+        end = at + HASHED
+        if end < len(raw):  # to the end of a word
+            while end < len(raw) and not _IS_SPACE[raw[end : end + HASHED]].any():
+                end += HASHED
+            end += int(_IS_SPACE[raw[end : end + HASHED]].argmax()) if end < len(raw) else 0
+        part = raw[at:end]
+        edge = np.diff(np.concatenate(([1], _IS_SPACE[part].view(np.int8), [1])))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        up, down = _powers(len(part))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[part] * up[: len(part)])])
+        found.append((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        begun.append(starts + at)
+        at = end
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return _mix(np.concatenate(found)), np.concatenate(begun)
+
+
+def _windows(h: np.ndarray, span: int) -> np.ndarray:
+    """A hash of every run of ``span`` words."""
+    total = np.full(max(0, len(h) - span + 1), span, np.uint64)
     for j in range(span):
-        total = _mix(total * _ODD[j % 5] + h[j : j + len(total)], j)
-    return np.unique(total)
+        total += h[j : j + len(total)] * (_ODD[j % 5] + np.uint64(2 * (j // 5)))
+    return _mix(total, 31)
+
+
+def shingle_sets(texts: list[str], size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles of ``size`` words; shorter texts are one shingle.
+
+    Texts are hashed together, as far as they have ``HASHED`` bytes.
+    """
+    at = 0
+    while at < len(texts):
+        parts, held = [], 0
+        while at < len(texts) and (not parts or held < HASHED):
+            parts.append(texts[at].encode("utf-8", "replace"))
+            held += len(parts[-1])
+            at += 1
+        h, begun = word_hashes(b"\n".join(parts))
+        ends = np.cumsum([len(x) + 1 for x in parts])
+        cuts = np.searchsorted(begun, ends)
+        whole = _windows(h, size)
+        for low, high in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            n = high - low
+            found = np.sort(whole[low : high - size + 1]) if n >= size else _windows(h[low:high], n) if n else h[:0]
+            yield found[np.r_[True, found[1:] != found[:-1]]] if n > size else found
+
+
+def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
+    return next(shingle_sets([text], size))
 
 
 class Bands:
@@ -102,36 +164,51 @@ def signatures(found: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]
     still be left out (-1 for none), plus 1 for the next band."""
     sigs, metas = [], []
     own = bands.of(len(found))
-    deal, part, value = _mix(found, 11), _mix(found, 12), _mix(found, 13)
+    deal, part = (found >> np.uint64(40)).astype(np.int64), (found >> np.uint64(8) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     for step in (0, 1):
         k, n1, n2, k2 = bands.parameters(own + step)
         if not k:
             continue  # only equal sets are linked
-        cell = (deal % np.uint64(n1) * np.uint64(n2) + part % np.uint64(n2)).astype(np.int64)
+        cell = deal % n1 * n2 + part % n2
         total = np.zeros(n1 * n2, np.uint64)
-        np.add.at(total, cell, value)
+        np.add.at(total, cell, found)
         total = total.reshape(n1, n2)
         held = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2) > 0
         spare = n1 - 1 - k // (k2 + 1) - int((held.sum(axis=1) <= k2).sum())
-        at = np.arange(n1, dtype=np.uint64)
-        for number, chosen in enumerate(combinations(range(n2), n2 - k2)):
-            sum_ = at * _ODD[0] + np.uint64((own + step) * 64 + number)
-            some = np.zeros(n1, bool)
-            for j in chosen:
-                sum_ = _mix(sum_, j) + total[:, j]
-                some |= held[:, j]
-            sum_ = _mix(sum_, 99) & np.uint64(0xFFFFFFFFFFFF0000) | at & np.uint64(0xFFFF)
-            sigs.append(sum_[some] if spare >= 0 else sum_)
-            # Where the low bits cannot tell all partitions, nothing more may be left out.
-            metas.append(np.full(len(sigs[-1]), 2 * (max(-1, min(spare, 15_000)) if n1 <= 0xFFFF else -1) + step, np.int16))
+        chosen = np.array(list(combinations(range(n2), n2 - k2)), np.int64)
+        at = np.arange(n1, dtype=np.uint64)[:, None]
+        sum_ = at * _ODD[0] + (np.uint64((own + step) << 20) + np.arange(len(chosen), dtype=np.uint64))
+        for j in chosen.T:
+            sum_ = _mix(sum_ + total[:, j] * _ODD[1])
+        sum_ = sum_ & np.uint64(0xFFFFFFFFFFFF0000) | at & np.uint64(0xFFFF)
+        sigs.append(sum_[held[:, chosen].any(axis=2)] if spare >= 0 else sum_.ravel())
+        # Where the low bits cannot tell all partitions, nothing more may be left out.
+        metas.append(np.full(len(sigs[-1]), 2 * (max(-1, min(spare, 15_000)) if n1 <= 0xFFFF else -1) + step, np.int16))
     if not sigs:
         return np.zeros(0, np.int64), np.zeros(0, np.int16)
     return np.concatenate(sigs).view(np.int64), np.concatenate(metas)
 
 
-def histogram(found: np.ndarray) -> bytes:
-    """How many elements fall into each of 256 cells, 255 for that many or more."""
-    return np.minimum(np.bincount((found >> np.uint64(40) & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+def sketch_bits(high: int) -> int:
+    """Cells of a sketch for sets of up to that size, a power of two."""
+    return 1 << max(9, int(np.rint(np.log2(max(1, high) * 2))))
+
+
+def sketch(found: np.ndarray, bits: int) -> bytes:
+    """A bit for each cell: whether an odd number of elements fall into it."""
+    cells = (found >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """The sketches as rows of so many 64-bit words; longer ones are folded, as their cells are."""
+    out = np.empty((len(sketches), words), np.uint64)
+    sizes = np.array([len(s) for s in sketches], np.int64)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        rows = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64)
+        out[at] = np.bitwise_xor.reduce(rows.reshape(len(at), -1, words), axis=1)
+    return out
 
 
 def _identity(found: np.ndarray) -> int:
@@ -141,36 +218,80 @@ def _identity(found: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _memberships(docs: DataFrame, key: str, text_col: str, size: int) -> DataFrame:
-    """key, n (set size), c (class: a hash of the set, null where it is empty), v (its histogram)."""
+def _memberships(docs: DataFrame, key: str, text_col: str, size: int, bands: Bands) -> DataFrame:
+    """key, t (hash of the text), n (set size), c (class: a hash of the set, null where it is empty), v (its sketch)."""
 
     def compute(texts: list[str]) -> dict[str, list]:
-        sets = [shingle_set(t, size) for t in texts]
-        return {"n": [len(s) for s in sets], "c": [_identity(s) if len(s) else None for s in sets], "v": [histogram(s) if len(s) else None for s in sets]}
+        sets = list(shingle_sets(texts, size))
+        bits = [sketch_bits(bands.high[bands.of(len(s))]) if len(s) else 0 for s in sets]
+        return {
+            "n": [len(s) for s in sets],
+            "c": [_identity(s) if len(s) else None for s in sets],
+            "v": [sketch(s, b) if len(s) else None for s, b in zip(sets, bits, strict=True)],
+        }
 
     out = T.StructType([T.StructField("n", T.LongType()), T.StructField("c", T.LongType()), T.StructField("v", T.BinaryType())])
-    return map_texts(docs, [key], text_col, out, compute)
+    return map_texts(docs.withColumn("t", F.xxhash64(text_col)), [key, "t"], text_col, out, compute)
 
 
-def _of_classes(docs: DataFrame, wanted: DataFrame, schema: T.StructType, make) -> DataFrame:
-    """What ``make`` gives for the set of each class in ``wanted`` (c, id: a member); docs has id and text."""
+def _signed(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
+    """sig, c, meta of the texts; a task signs once for the copies that it meets."""
+    schema = T.StructType([T.StructField(n, t) for n, t in (("sig", T.LongType()), ("c", T.LongType()), ("meta", T.ShortType()))])
     arrow = to_arrow_schema(schema)
-    size = wanted.count()
-    right = wanted.select(F.col("id").alias("wid"), F.col("c").alias("wc"))
-    right = F.broadcast(right) if size <= BROADCAST_ROWS else right
-    rows = docs.join(right, F.col("id").eqNullSafe(F.col("wid"))).select("wc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        told: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=arrow)
+
         for batch in batches:
-            for c, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held += make(c, text.as_py() or "", arrow)
-                if sum(map(len, held)) > 100_000 or len(held) >= 200:
-                    yield from pa.Table.from_batches(held, arrow).combine_chunks().to_batches()
-                    held = []
-        yield from pa.Table.from_batches(held, arrow).combine_chunks().to_batches()
+            for found in shingle_sets([t or "" for t in batch.column(0).to_pylist()], size):
+                if not len(found) or (c := _identity(found)) in told:
+                    continue
+                if len(told) >= SIGNED:
+                    told.clear()
+                told.add(c)
+                sig, meta = signatures(found, bands)
+                held.append((sig, np.full(len(sig), c), meta))
+                rows += len(sig)
+                if rows > 100_000:
+                    yield flush()
+                    rows = 0
+        if held:
+            yield flush()
+
+    return docs.select("text").mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, schema)
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """c, found: the set of each class in ``wanted`` (c, id and t of a member)."""
+    schema = T.StructType([T.StructField("c", T.LongType()), T.StructField("found", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
+    right = wanted.select(F.col("id").alias("wid"), F.col("t").alias("wt"), F.col("c").alias("wc"))
+    right = F.broadcast(right) if wanted.count() <= BROADCAST_ROWS else right
+    # The hash of the text comes with the key, so rows without a key do not meet each other's classes.
+    same = (F.xxhash64("text") == F.col("wt")) & F.col("id").eqNullSafe(F.col("wid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
+        for batch in batches:
+            rows: tuple[list, list] = ([], [])
+            sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()], size)
+            for c, found in zip(batch.column(0).to_pylist(), sets, strict=True):
+                if c not in told and len(found) and _identity(found) == c:
+                    if len(told) >= SIGNED:
+                        told.clear()
+                    told.add(c)
+                    rows[0].append(c)
+                    rows[1].append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], schema=arrow)
+
+    return docs.join(right, same).select("wc", "text").mapInArrow(run, schema)
 
 
 def _grouped(sigs: DataFrame) -> DataFrame:
@@ -226,45 +347,118 @@ def _grouped(sigs: DataFrame) -> DataFrame:
                     close()
                     sig, group, big, leader = int(s[i]), [], False, int(c[i])
                 row = (int(c[i]), int(meta[i]))
-                if group and group[-1][0] == row[0]:
-                    continue
                 if big:
-                    group = [row]
-                    large(row)
-                else:
+                    large(row)  # tasks that signed for copies of one text repeat it
+                elif row not in group:
                     group.append(row)
                     if len(group) > ALL_PAIRS:
                         big = True
                         for x in group:
                             large(x)
-                        group = [row]
                 if len(out[0]) >= 50_000:
                     yield flush()
         close()
         yield flush()
 
-    return sigs.repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(run, schema)
+    return sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, schema)
+
+
+def _bound(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Elements in which linked sets of these sizes differ at most."""
+    return (n + m) * (100 - percent) // (100 + percent)
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and histograms do not exclude a link: what two sets share is
-    at most the sum, over cells, of the smaller counts."""
+    """The pairs (a, b) whose sizes and sketches do not exclude a link."""
     one, two = (classes.select(F.col("c").alias(c), F.col("n").alias(n), F.col("v").alias(v)) for c, n, v in (("a", "m", "x"), ("b", "n", "y")))
     near = pairs.join(two, "b").join(one, "a").where(F.least("m", "n") * 100 >= F.greatest("m", "n") * percent)
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.num_rows
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(rows, 256) for i in (2, 3))
-            sizes = batch.column(4).to_numpy() + batch.column(5).to_numpy()
-            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            full = (x == 255).any(axis=1) | (y == 255).any(axis=1)
-            yield batch.select([0, 1]).filter(pa.array(full | (100 * most >= percent * (sizes - most))))
+            x, y = (batch.column(i).to_pylist() for i in (2, 3))
+            words = np.array([min(len(p), len(q)) // 8 for p, q in zip(x, y, strict=True)], np.int64)
+            most = _bound(batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)
+            keep = np.zeros(len(words), bool)
+            for size in np.unique(words).tolist():
+                at = np.flatnonzero(words == size)
+                apart = folded([x[i] for i in at], size) ^ folded([y[i] for i in at], size)
+                keep[at] = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= most[at]
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
     return near.select("a", "b", "x", "y", "m", "n").mapInArrow(run, schema)
 
 
+def _across(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs between the components of a large group that sizes and sketches do not exclude.
+
+    rows: sig, c, root, n, v, and the class's other sigs, if they are not too many; sizes: sig and
+    how many rows it has. A group is dealt into blocks of about ``GROUP_ROWS``, and every two blocks
+    meet in a task of their own. Where both tell their sigs, the first that they share gives the pair.
+    """
+    blocks = F.ceil(F.col("members") / GROUP_ROWS).cast("int")
+    placed = rows.join(sizes, "sig").withColumn("p", F.pmod(F.xxhash64("c"), blocks).cast("int"))
+    met = placed.withColumn("q", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select("sig", F.least("p", "q").alias("low"), F.greatest("p", "q").alias("high"), (F.col("p") > F.col("q")).alias("second"), "c", "root", "n", "v", "sigs")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(group)
+        second, c, root, n = (t.column(i).to_numpy() for i in (3, 4, 5, 6))
+        v, lists = t.column(7).to_pylist(), t.column(8).combine_chunks()
+        v = folded(v, min(map(len, v)) // 8)
+        sig, values, ends, tells = t.column(0)[0].as_py(), lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+        sigs: dict[int, set[int]] = {}
+
+        def elsewhere(*both: int) -> bool:
+            for i in both:
+                if not tells[i]:
+                    return False
+                if i not in sigs:
+                    sigs[i] = set(values[ends[i] : ends[i + 1]].tolist())
+            return min(sigs[both[0]] & sigs[both[1]]) != sig
+
+        inside = t.column(1)[0].as_py() == t.column(2)[0].as_py()
+        left, right = (np.arange(len(c)),) * 2 if inside else (np.flatnonzero(~second), np.flatnonzero(second))
+        found = []
+        step = max(1, (1 << 20) // max(1, len(right) * v.shape[1]))
+        for at in range(0, len(left), step):
+            i = left[at : at + step, None]
+            near = (root[i] != root[right]) & (100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right]))
+            if inside:
+                near &= i < right
+            x, y = np.nonzero(near)
+            x, y = i[x, 0], right[y]
+            apart = np.bitwise_count(v[x] ^ v[y]).sum(axis=1, dtype=np.int64)
+            near = apart <= _bound(n[x], n[y], percent)
+            once = [(i, j) for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True) if not elsewhere(i, j)]
+            x, y = c[[i for i, _ in once]], c[[j for _, j in once]]
+            found.append((np.minimum(x, y), np.maximum(x, y)))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = [batch.column(i).to_numpy() for i in range(3)]
+            cuts = [0, *(1 + np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))).tolist(), batch.num_rows]
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if end == at:
+                    continue
+                this = tuple(int(k[at]) for k in keys)
+                if key not in (None, this):
+                    yield pairs(held)
+                    held = []
+                key = this
+                held.append(batch.slice(at, end - at))
+        if held:
+            yield pairs(held)
+
+    return met.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(run, schema)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     one, two = sets.select(F.col("c").alias("a"), F.col("found").alias("x")), sets.select(F.col("c").alias("b"), F.col("found").alias("y"))
@@ -317,50 +511,49 @@ def jaccard_components(
     spark = docs.sparkSession
     folder = SharedFolder(spark, "jaccard")
     texts = docs.select(F.col(key).alias("id"), F.col(text_col).alias("text"))
-    members = folder.save(_memberships(texts, "id", "text", size), "members")
-    classes = folder.save(members.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("v").alias("v")), "classes")
     bands = Bands(percent)
-
-    def sign(c, text, arrow):
-        found = shingle_set(text, size)
-        if len(found) and _identity(found) == c:  # rows may share a key
-            sig, meta = signatures(found, bands)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.full(len(sig), c)), pa.array(meta)], schema=arrow)
-
-    fields = [("sig", T.LongType()), ("c", T.LongType()), ("meta", T.ShortType())]
-    sigs = _of_classes(texts, classes, T.StructType([T.StructField(n, t) for n, t in fields]), sign)
-    grouped = folder.save(_grouped(sigs), "grouped")
+    members = folder.save(_memberships(texts, "id", "text", size, bands), "members")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t"))
+    classes = members.where("c IS NOT NULL").groupBy("c").agg(first.alias("x"), F.first("n").alias("n"), F.first("v").alias("v"))
+    classes = folder.save(classes.select("c", "x.id", "x.t", "n", "v"), "classes")
+    grouped = folder.save(_grouped(_signed(texts, size, bands)), "grouped")
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = folder.save(ordered(grouped.where("b IS NOT NULL")), "pairs")
+    pairs = ordered(grouped.where("b IS NOT NULL"))
     large = grouped.where("b IS NULL").select(F.col("a").alias("c"), "sig", "meta")
 
-    def whole(c, text, arrow):
-        found = shingle_set(text, size)
-        if len(found) and _identity(found) == c:
-            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([found.tobytes()], pa.binary())], schema=arrow)
-
-    kept = T.StructType([T.StructField("c", T.LongType()), T.StructField("found", T.BinaryType())])
-
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        near = folder.save(_possible(pairs, classes, percent), f"{label}-near")
+    def verified(near: DataFrame, label: str) -> DataFrame:
+        near = folder.save(near, f"{label}-near")
         needed = near.select(F.col("a").alias("c")).unionByName(near.select(F.col("b").alias("c"))).distinct()
-        wanted = folder.save(classes.join(needed, "c", "left_semi").select("c", "id"), f"{label}-wanted")
+        wanted = folder.save(classes.join(needed, "c", "left_semi").select("c", "id", "t"), f"{label}-wanted")
         # Rows that share a key can give a set twice, which only repeats a link.
-        return folder.save(_verified(near, _of_classes(texts, wanted, kept, whole), percent), label)
+        made = folder.save(_verified(near, _sets_of(texts, wanted, size), percent), label)
+        folder.drop(f"{label}-near")
+        folder.drop(f"{label}-wanted")
+        return made
 
-    links = verified(pairs, "links")
+    links = verified(_possible(pairs, classes, percent), "links")
     roots = components(links, folder, "first")
 
     # Large groups that span components, of sets that cannot leave them all out.
     rooted = large.join(roots, "c", "left").select("c", "sig", "meta", F.coalesce("root", "c").alias("root"))
-    mixed = rooted.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("sig")
-    hot = folder.save(rooted.join(mixed, "sig"), "hot")
+    mixed = rooted.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q"), F.count("*").alias("of")).where("p <> q").select("sig", "of")
+    hot = folder.save(rooted.join(mixed, "sig").distinct(), "hot")
+    folder.drop("grouped")
+    # A set may leave out so many partitions, and instead of more its largest groups.
+    spare = F.greatest(F.lit(0), F.floor(F.col("meta") / 2))
     parts = F.count_distinct(F.col("sig").bitwiseAND(0xFFFF))
     bound = hot.groupBy("c", "meta").agg(parts.alias("parts")).where(F.floor(F.col("meta") / 2) < F.col("parts")).select("c", "meta")
-    rest = hot.join(bound, ["c", "meta"]).select("c", "sig", "root")
-    other = rest.select(F.col("c").alias("d"), "sig", F.col("root").alias("r"))
-    across = rest.join(other, "sig").where("root < r").select(F.col("c").alias("a"), F.col("d").alias("b"))
-    more = verified(ordered(across), "more")
+    rest = hot.join(bound, ["c", "meta"])
+    place = F.row_number().over(Window.partitionBy("c", "meta").orderBy(F.desc("of"), F.desc("sig")))
+    rest = rest.withColumn("place", place).where(F.col("place") > spare)
+    own = Window.partitionBy("c", "meta")
+    others = F.when(F.count("*").over(own) <= TOLD_SIGS, F.collect_list("sig").over(own))
+    rest = folder.save(rest.select("c", "sig", "root", others.alias("sigs")), "rest")
+    folder.drop("hot")
+    sizes = rest.groupBy("sig").agg(F.count("*").alias("members"), F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("sig", "members")
+    told = rest.join(classes.select("c", "n", "v"), "c")
+    more = verified(ordered(_across(told, sizes, percent)), "more")
+    folder.drop("rest")
     if more.limit(1).count():
         roots = components(links.unionByName(more), folder, "second")
 

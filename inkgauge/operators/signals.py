@@ -1,8 +1,14 @@
 """The 41 signals of a document, their standardised evidence and the index.
 
-Sentences, word frequencies and paragraphs are each aggregated to a row per document before
-they meet, so joins carry documents' measurements and never their texts. The ranked lexicon of
-surprisal is a parameter (code, word, rank); ``corpus_lexicon`` makes one from the corpus.
+``corpus`` detects languages and splits sentences and words once, into a written table; what is
+measured reads the columns that it needs from there. Sentences, word frequencies and paragraphs
+are each aggregated to a row per document before they meet, so joins carry documents'
+measurements and never their texts. The ranked lexicon of surprisal is a parameter (code, word,
+rank); ``corpus_lexicon`` makes one from the corpus, ``read_lexicon`` reads one.
+
+Operators that take documents keep to rows with a doc_id, one each (``style.unique``): repeated
+rows count once. Documents of refused languages and without sentences give no rows. Null and
+empty texts have no sentences. Other columns of the documents are not read.
 """
 
 from __future__ import annotations
@@ -14,6 +20,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed_values as V
 from ..functions import signal_values as G
 from . import style as S
+from ..sources.staging import Staging
 
 #: Words of each language in a lexicon made from the corpus.
 LEXICON_WORDS = 600
@@ -24,7 +31,7 @@ BROADCAST_ROWS = 200_000
 SHIFT, SLOPE, RANKS = 2.7, 1.07, 60_000
 SCALE = 0.97 / sum((r + SHIFT) ** -SLOPE for r in range(1, RANKS + 1))
 
-_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_SPACE = S.SPACE
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
@@ -53,13 +60,50 @@ def spec(spark) -> DataFrame:
     return spark.range(1).select(F.explode(values).alias("x")).select("x.*").toDF("code", "signal", "place", "family", "center", "spread", "dir", "weight")
 
 
-def corpus_lexicon(docs: DataFrame, size: int = LEXICON_WORDS) -> DataFrame:
+class Corpus:
+    """Documents whose texts are prepared: doc_id, code, text, sents (sentence, nl, tok: words in lower case)."""
+
+    def __init__(self, prepared: DataFrame):
+        self.docs = prepared
+
+
+def corpus(docs: DataFrame | Corpus) -> Corpus:
+    """Detects, splits and saves documents; a corpus stays as it is."""
+    if isinstance(docs, Corpus):
+        return docs
+    s = S.scored(S.unique(docs)).select("doc_id", "code", "text", S.segments(F.col("text"), F.col("code")).alias("seg"))
+
+    def sentence(x: Column) -> Column:
+        feeds = F.regexp_count(F.regexp_extract(x, f"^({_SPACE}*)", 1), F.lit("\n"))
+        return F.struct(S.trimmed(x).alias("sentence"), feeds.alias("nl"), F.transform(S.words(x), F.lower).alias("tok"))
+
+    made = s.select("doc_id", "code", "text", F.transform("seg", sentence).alias("sents"))
+    return Corpus(Staging(docs.sparkSession, "corpus").save(made, "texts"))
+
+
+def sentence_rows(docs: DataFrame | Corpus) -> DataFrame:
+    """doc_id, code, sent_idx, sentence, nl, tok."""
+    return corpus(docs).docs.select("doc_id", "code", F.posexplode("sents").alias("sent_idx", "x")).select("doc_id", "code", "sent_idx", "x.*")
+
+
+def corpus_lexicon(docs: DataFrame | Corpus, size: int = LEXICON_WORDS) -> DataFrame:
     """code, word, rank: the most frequent words of each language, ties in the order of letters."""
-    s = S.scored(docs)
-    n = s.select("code", F.explode_outer(S.words(F.lower("text"))).alias("word")).where("word IS NOT NULL").groupBy("code", "word").count()
+    n = _tokens(docs).select("code", F.explode("tok").alias("word")).groupBy("code", "word").count()
     # Only the first ranks are wanted, so each task keeps no more than those.
     order = Window.partitionBy("code").orderBy(F.desc("count"), "word")
-    return n.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("code", "word", "rank")
+    ranked = n.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).select("code", "word", "rank")
+    return Staging(n.sparkSession, "lexicon").save(ranked, "ranks")
+
+
+def read_lexicon(spark, path: str) -> DataFrame:
+    """code, word, rank from a text file: ``code<tab>word`` lines, a language's most frequent words first.
+
+    A word's rank is its place among the lines of its language; of repeated words the first counts.
+    """
+    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    rows = lines.select("at", F.split("line", "\t").alias("x")).where(F.size("x") == 2).select("at", F.col("x")[0].alias("code"), F.lower(S.trimmed(F.col("x")[1])).alias("word"))
+    placed = rows.withColumn("rank", F.row_number().over(Window.partitionBy("code").orderBy("at")))
+    return placed.groupBy("code", "word").agg(F.min("rank").alias("rank"))
 
 
 def surprisal(rank: Column, word: Column) -> Column:
@@ -80,31 +124,29 @@ def with_ranks(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def sentence_features(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """doc_id, code, sent_idx, n, surp and the marks of every sentence."""
-    s = S.sentences(docs).select("*", S.words(F.col("sentence")).alias("w"), F.lower("sentence").alias("low"))
-
-    def held(lists: dict[str, str]) -> Column:
-        return S.by_language(F.col("code"), {c: sum((F.contains("low", F.lit(m)).cast("int") for m in S._listed(lists[c])), F.lit(0)) for c in S.LANGUAGES})
+    s = sentence_rows(docs).select("*", F.lower("sentence").alias("low"), F.regexp_extract("sentence", S.WORD, 0).alias("begin"))
 
-    first = F.lower(F.col("w")[0])
+    held = lambda lists: S.markers_held(F.col("low"), F.col("code"), lists)
+    first = F.col("tok")[0]
 
     def opener(code: str) -> Column:
         det, pron, conj = (x.split() for x in G.OPENERS[code])
         adverbs = sorted({m.split(" ")[0] for m in S._listed(V.DISCOURSE[code])})
         return (
             F.when(first.isin(det), 0).when(first.isin(pron), 1).when(first.isin(conj), 2)
-            .when(first.isin(adverbs) | first.endswith(G.ADVERB_END[code]), 3).when(F.regexp_like(F.col("w")[0], F.lit(r"^\p{Lu}")), 4).otherwise(5)
+            .when(first.isin(adverbs) | first.endswith(G.ADVERB_END[code]), 3).when(F.regexp_like("begin", F.lit(r"^\p{Lu}")), 4).otherwise(5)
         )
 
     def like(patterns: dict[str, str]) -> Column:
         return S.by_language(F.col("code"), {c: F.regexp_like("sentence", _pattern(patterns[c])) for c in S.LANGUAGES}).cast("int")
 
     marks = s.select(
-        "doc_id", "code", "sent_idx", F.size("w").alias("n"), first.alias("first"), S.by_language(F.col("code"), {c: opener(c) for c in S.LANGUAGES}).alias("opener"),
+        "doc_id", "code", "sent_idx", "sentence", "nl", F.size("tok").alias("n"), first.alias("first"), S.by_language(F.col("code"), {c: opener(c) for c in S.LANGUAGES}).alias("opener"),
         held(V.DISCOURSE).alias("dm"), held(V.REGISTER).alias("rm"), held(V.HEDGES).alias("hg"), like(G.PASSIVE).alias("passive"), like(G.FIRST_PERSON_IN).alias("human"),
         F.regexp_like("low", _pattern(r"[’']\s?(s|t|re|ve|ll|d|m)(?![A-Za-z0-9_])")).cast("int").alias("contracted"),
         F.regexp_like("sentence", F.lit("[!?][\")'’”]*$")).cast("int").alias("exclaims"),
         F.regexp_like("sentence", F.lit("[.!?…][\")'’”]*$")).cast("int").alias("ended"),
-        F.transform("w", F.lower).alias("tok"),
+        "tok",
     )
     bits = with_ranks(marks.select("doc_id", "code", "sent_idx", F.explode_outer("tok").alias("word")), lexicon)
     mean = bits.groupBy("doc_id", "sent_idx").agg(F.avg(surprisal(F.col("rank"), F.col("word"))).alias("surp"))
@@ -145,8 +187,7 @@ def _sentence_signals(rows: DataFrame) -> DataFrame:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    s = S.sentences(docs)
-    return s.select("doc_id", "code", "sent_idx", F.transform(S.words(F.col("sentence")), F.lower).alias("tok"))
+    return sentence_rows(docs).select("doc_id", "code", "sent_idx", "tok")
 
 
 def _word_signals(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -208,6 +249,10 @@ def mattr(docs: DataFrame, window: int = 50, sampled: int = 400, most: int = 20_
     )
 
 
+# The letters that syllables are counted of.
+LETTERS = {"es": "a-záéíóúüñàèìòùç", "pt": "a-zàáâãéêíóôõúüç", "fr": "a-zàâäéèêëîïôöùûüÿœæç"}
+
+
 def syllables(word: Column, code: str) -> Column:
     """Syllables of a word in lower case."""
     count = lambda c, p: F.greatest(F.lit(1), F.regexp_count(c, F.lit(p)))
@@ -215,13 +260,14 @@ def syllables(word: Column, code: str) -> Column:
         w = F.regexp_replace(word, "[^a-z]", "")
         core = F.regexp_replace(F.regexp_replace(w, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
         return F.when(w == "", 0).when(F.length(w) <= 3, 1).otherwise(count(core, "[aeiouy]+"))
+    word = F.regexp_replace(word, f"[^{LETTERS[code]}]", "")
     if code == "es":
         v, strong = "aeiouáéíóúüàèìòù", "aeoáéóàè"
         return F.when(word == "", 0).otherwise(count(word, f"(?<![{v}])[{v}]|(?<=[{strong}])[{strong}]|(?<=[{v}])[íú]|(?<=[íú])[{v}]"))
     if code == "pt":
-        return F.when(word == "", 0).otherwise(count(word, "[aeiouáéíóúâêôãõàèìòù]+"))
+        return F.when(word == "", 0).otherwise(count(word, "[aeiouáéíóúâêîôûãõàèìòù]+"))
     core = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, "(?<!m)ent$", ""), "es$", ""), "e$", "")
-    return F.when(word == "", 0).otherwise(count(core, "[aeiouyàâäéèêëîïôöùûüÿœæ]+"))
+    return F.when(word == "", 0).otherwise(count(core, "[aeiouyàâäéèêëîïôöùûüœæ]+"))
 
 
 def _syllable_sum(words: Column, code: Column) -> Column:
@@ -239,7 +285,7 @@ def paragraphs(text: Column) -> Column:
 
 
 def _paragraph_signals(docs: DataFrame) -> DataFrame:
-    rows = S.scored(docs).select("doc_id", "code", F.explode_outer(paragraphs(F.col("text"))).alias("para")).where("para IS NOT NULL")
+    rows = corpus(docs).docs.select("doc_id", "code", F.explode_outer(paragraphs(F.col("text"))).alias("para")).where("para IS NOT NULL")
     rows = rows.select("doc_id", "code", S.words(F.col("para")).alias("w"), F.greatest(F.lit(1), F.size(S.split_sentences(F.col("para"), F.col("code")))).alias("s"))
     rows = rows.select("doc_id", F.size("w").alias("n"), "s", _syllable_sum(F.col("w"), F.col("code")).alias("syl"))
     grade = F.when(F.col("n") >= 25, 0.39 * F.col("n") / F.col("s") + 11.8 * F.col("syl") / F.col("n") - 15.59)
@@ -262,14 +308,14 @@ def slips(text: Column, code: Column) -> Column:
 
 
 def _text_signals(docs: DataFrame) -> DataFrame:
-    marks = S.typography(docs)
-    odd = S.scored(docs).select(F.col("doc_id"), slips(F.col("text"), F.col("code")).alias("slips"), F.length("text").alias("chars"))
-    return marks.join(odd, "doc_id")
+    texts = corpus(docs).docs
+    odd = texts.select(F.col("doc_id"), slips(F.col("text"), F.col("code")).alias("slips"), F.length("text").alias("chars"))
+    return S.typography(texts).join(odd, "doc_id")
 
 
 def document_signals(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """doc_id, code, the 41 raw values and what holds depend on, for documents with sentences. Null keys are left out."""
-    docs = docs.where("doc_id IS NOT NULL")
+    """doc_id, code, the 41 raw values and what holds depend on, for documents with sentences; written once."""
+    docs = corpus(docs)
     d = _sentence_signals(sentence_features(docs, lexicon)).join(_word_signals(docs, lexicon), "doc_id").join(_paragraph_signals(docs), "doc_id")
     d = d.join(rep5(docs), "doc_id", "left").join(mattr(docs), "doc_id").join(_text_signals(docs), "doc_id")
     per = lambda c: 1000.0 * F.col(c) / F.col("words")
@@ -279,7 +325,7 @@ def document_signals(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
         a, b, c = G.READING_EASE[code]
         return a - b * F.col("words") / F.col("sentences") - c * F.col("syll") / F.col("words")
 
-    return d.withColumns(
+    made = d.withColumns(
         {
             "rep5": _zero(F.col("rep5")), "discourse": per("dm"), "regMark": per("rm"), "hedge": per("hg"), "contraction": per("contracted"),
             "flesch": S.by_language(F.col("code"), {c: ease(c) for c in S.LANGUAGES}), "listRate": _zero(F.when(F.col("lines") > 0, F.col("items") / F.col("lines"))),
@@ -287,6 +333,7 @@ def document_signals(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
             "curly": F.when(quotes > 0, F.abs(F.col("curly") - F.col("straight")) / quotes).otherwise(0.5),
         }
     )
+    return Staging(made.sparkSession, "signals").save(made, "wide")
 
 
 def signal_names() -> list[str]:
@@ -338,9 +385,9 @@ def findings(rows: DataFrame, n: int = 4) -> DataFrame:
 
 def index_scores(wide: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, code, words, logit, index, percent, half, band, reliability, prose."""
-    d = rows.groupBy("doc_id").agg(_weighted().alias("logit")).join(wide.select("doc_id", "code", "words", "listRate", "paras", "tiny", "open_ended"), "doc_id")
+    d = rows.groupBy("doc_id").agg(_weighted().alias("logit")).join(wide.select("doc_id", "code", "words", "listRate", "paras", "para_lens", "tiny", "open_ended"), "doc_id")
     i, words = F.col("index"), F.col("words")
-    per = words / F.greatest(F.col("paras"), F.lit(1))
+    per = words / F.greatest(F.col("para_lens"), F.lit(1))  # of the paragraphs with words
     reasons = sum(c.cast("int") for c in ((F.col("listRate") > 0.3), (per < 12) & (F.col("paras") > 8), F.col("tiny") > 0.42, F.col("open_ended") > 0.5))
     over = (F.col("listRate") > 0.6) | ((per < 8) & (F.col("paras") > 12))
     half = F.least(F.lit(0.5), F.greatest(F.lit(0.035), 0.52 / F.sqrt(1 + words / 220.0) + 0.035))
@@ -352,7 +399,7 @@ def index_scores(wide: DataFrame, rows: DataFrame) -> DataFrame:
     d = d.withColumn("index", 1 / (1 + F.exp(-1.55 * F.col("logit"))))
     return d.select(
         "doc_id", "code", "words", F.round("logit", 6).alias("logit"), F.round("index", 6).alias("index"), F.floor(i * 100 + 0.5).cast("int").alias("percent"),
-        F.round(half, 6).alias("half"), band.alias("band"), trust.alias("reliability"), ~((reasons >= 2) | over).alias("prose"),
+        F.round(half, 6).alias("half"), band.alias("band"), trust.alias("reliability"), (~((reasons >= 2) | over)).alias("prose"),
     )
 
 
@@ -379,11 +426,11 @@ def top_grams(docs: DataFrame, n: int = 8) -> DataFrame:
 
 def register_hits(docs: DataFrame, n: int = 14) -> DataFrame:
     """doc_id, rank, marker, c: register markers by how often they occur, ties in their natural order."""
-    s = S.scored(docs).select("doc_id", "code", F.lower("text").alias("low"))
+    s = S.scored(S.unique(docs)).select("doc_id", "code", F.lower("text").alias("low"))
 
     def counted(code: str) -> Column:
         marks = S._listed(V.REGISTER[code])
-        times = lambda m: F.regexp_count("low", F.lit(r"\Q" + m + r"\E"))
+        times = lambda m: ((F.length("low") - F.length(F.replace("low", F.lit(m), F.lit("")))) / len(m)).cast("int")
         return F.array(*[F.struct((-times(m)).alias("minus"), F.lit(i).alias("place"), F.lit(m).alias("marker")) for i, m in enumerate(marks)])
 
     found = S.by_language(F.col("code"), {c: counted(c) for c in S.LANGUAGES})

@@ -13,10 +13,18 @@ from ..functions import fixed_values as V
 
 LANGUAGES = ("en", "es", "pt", "fr")
 WORD = r"\p{L}[\p{L}'’]*"
+#: White space, of Unicode too, which the shorthand of patterns leaves out.
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
-def read(spark, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def unique(docs: DataFrame) -> DataFrame:
+    """doc_id, text: a row for each doc_id that is not null, dealt by it. Repeated rows are one document;
+    of several texts with one doc_id the smallest is measured. Other columns are not read."""
+    return docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def normalised(docs: DataFrame) -> DataFrame:
@@ -127,31 +135,37 @@ def typography(docs: DataFrame) -> DataFrame:
     """doc_id and counts of marks: dashes, curly and straight quotes, wide gaps, odd spaces, list lines, heads."""
     d = normalised(docs)
     count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    item = F.lit(r"(?i)^([-*•‣▪]|\d{1,2}[.)]|[a-z][.)])\s+")
+    lines = F.filter(F.transform(F.split("text", "\n"), trimmed), lambda x: x != "")
+    item = F.lit(r"(?i)^([-*•‣▪]|\d{1,2}[.)]|[a-z][.)])" + SPACE)
     return d.select(
         "doc_id", count("[—–]").alias("dashes"), count("[“”‘’]").alias("curly"), count("[\"']").alias("straight"),
-        count(r"\.\s{2,}").alias("wide_gaps"), count(r"\.\s").alias("gaps"),
+        count(rf"\.{SPACE}{{2,}}").alias("wide_gaps"), count(rf"\.{SPACE}").alias("gaps"),
         count("[ ​-‍  ﻿⁠]").alias("odd_spaces"),
-        count(r"(?:^|\n)#{1,6}\s|\*\*[^*\n]{2,}\*\*").alias("heads"),
+        count(r"(?:^|\n)#{1,6}" + SPACE + r"|\*\*[^*\n]{2,}\*\*").alias("heads"),
         F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: F.regexp_like(x, item))).cast("long").alias("items"),
     )
 
 
 def _boundary(code: str) -> str:
     """A terminator run with its closing marks, where a sentence ends."""
-    short = "|".join(r"\.?".join(a.replace(".", "")) for a in _listed(V.ABBREVIATIONS[code]) if a.replace(".", "").isalpha())
+    # Dots are taken out of the text's word but not of the list, so entries with dots never match.
+    short = "|".join(r"\.?".join(a) for a in _listed(V.ABBREVIATIONS[code]) if a.isalpha())
     tail = r"[.!?…]*+[\"'”’)\]}»]*+(?=[ \t\n]|\z)"
     low = r"(?![ \t]{0,2}[\p{Ll},;:])"
     # The abbreviations come last, where all else fits.
-    known = rf"(?<!(?<![\p{{L}}.'’])(?iu:{short})\.)"
-    return rf"(?=[.!?…])(?<![.!?…])(?:[!?…]{tail}|\.(?:(?<!\d\.)(?={tail}{low})|(?<=\d\.)(?={tail}(?!\s*\d){low})){known}{tail})"
+    known = rf"(?<!(?<![\p{{L}}'’])\.{{0,9}}(?iu:{short})\.)"
+    return rf"(?=[.!?…])(?<![.!?…])(?:[!?…]{tail}|\.(?:(?<!\d\.)(?={tail}{low})|(?<=\d\.)(?={tail}(?!{SPACE}*\d){low})){known}{tail})"
 
 
-def split_sentences(text: Column, code: Column) -> Column:
-    """The text's sentences as an array: segments with a letter. Languages not scored split as English."""
+def segments(text: Column, code: Column) -> Column:
+    """The text's segments with a letter, with the white space before them. Languages not scored split as English."""
     marked = by_language(code, {c: F.regexp_replace(text, F.lit(_boundary(c)), F.lit("$0\u0001")) for c in LANGUAGES})
-    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.regexp_like(x, F.lit(r"\p{L}")))
+    return F.filter(F.split(marked, "\u0001"), lambda x: F.regexp_like(x, F.lit(r"\p{L}")))
+
+
+def split_sentences(text: Column, code: Column) -> Column:
+    """The text's sentences as an array."""
+    return F.transform(segments(text, code), trimmed)
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -161,7 +175,7 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 def rhythm(docs: DataFrame) -> DataFrame:
     """doc_id, sentences and the measurements of sentence lengths in words."""
-    rows = sentences(docs).select("doc_id", F.size(words(F.col("sentence"))).alias("n"))
+    rows = sentences(unique(docs)).select("doc_id", F.size(words(F.col("sentence"))).alias("n"))
     s = rows.groupBy("doc_id").agg(
         F.count("*").alias("sentences"), F.avg("n").alias("mean"), F.coalesce(F.stddev_samp("n"), F.lit(0.0)).alias("sd"),
         F.kurtosis("n").alias("kurt"), F.skewness("n").alias("skew"), *[F.avg(c.cast("double")).alias(a) for a, c in (
@@ -176,17 +190,21 @@ def rhythm(docs: DataFrame) -> DataFrame:
     )
 
 
+def markers_held(low: Column, code: Column, lists: dict[str, str]) -> Column:
+    """How many of the language's markers a sentence in lower case holds, each counted once."""
+    listed = by_language(code, {c: F.array(*map(F.lit, _listed(lists[c]))) for c in LANGUAGES})
+    return F.size(F.filter(listed, lambda m: F.contains(low, m)))
+
+
 def marker_rates(docs: DataFrame) -> DataFrame:
     """doc_id, code, words and rates per thousand words of discourse and register markers and hedges,
     and function words' share."""
-    s = sentences(docs).withColumn("low", F.lower("sentence")).withColumn("tok", words(F.col("low")))
-
-    def held(lists: dict[str, str]) -> Column:
-        return by_language(F.col("code"), {c: sum((F.contains("low", F.lit(m)).cast("int") for m in _listed(lists[c])), F.lit(0)) for c in LANGUAGES})
+    s = sentences(unique(docs)).withColumn("low", F.lower("sentence")).withColumn("tok", words(F.col("low")))
 
     def hits(lists: dict[str, str]) -> Column:
-        return by_language(F.col("code"), {c: F.size(F.filter("tok", lambda t: t.isin(_listed(lists[c])))) for c in LANGUAGES})
+        return F.size(F.filter("tok", lambda t: by_language(F.col("code"), {c: t.isin(_listed(lists[c])) for c in LANGUAGES})))
 
+    held = lambda lists: markers_held(F.col("low"), F.col("code"), lists)
     kinds = {"discourse": held(V.DISCOURSE), "regMark": held(V.REGISTER), "hedge": held(V.HEDGES), "firstPerson": hits(V.FIRST_PERSON), "intens": hits(V.INTENSIFIERS)}
     n = F.sum(F.size("tok"))
     return s.groupBy("doc_id").agg(

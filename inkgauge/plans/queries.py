@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import signals as G
 from ..operators import style as S
+from ..sources import staging
+from . import oracles
 
 QUERIES = {
-    name: (lambda f: lambda spark, sf_dir: f(S.read(spark, sf_dir)))(f)
+    name: (lambda f: lambda spark, sf_dir: f(staging.read(spark, sf_dir)))(f)
     for name, f in {
         "word_freq": S.word_freq,
         "word_stats": S.word_stats,
@@ -26,7 +28,7 @@ def _measured(make):
     """A query over the documents and the lexicon made from them."""
 
     def run(spark, sf_dir):
-        docs = S.read(spark, sf_dir)
+        docs = G.corpus(staging.read(spark, sf_dir))
         return make(docs, G.corpus_lexicon(docs))
 
     return run
@@ -43,10 +45,10 @@ def _scores(docs, lexicon):
 
 
 QUERIES |= {
-    "mattr": lambda spark, sf_dir: G.mattr(S.read(spark, sf_dir)).select("doc_id", F.round("mattr", 6).alias("mattr")),
-    "rep5": lambda spark, sf_dir: G.rep5(S.read(spark, sf_dir)).select("doc_id", F.round("rep5", 6).alias("rep5")),
-    "top_grams": lambda spark, sf_dir: G.top_grams(S.read(spark, sf_dir)),
-    "register_hits": lambda spark, sf_dir: G.register_hits(S.read(spark, sf_dir)),
+    "mattr": lambda spark, sf_dir: G.mattr(staging.read(spark, sf_dir)).select("doc_id", F.round(F.col("mattr") + 1e-10, 6).alias("mattr")),
+    "rep5": lambda spark, sf_dir: G.rep5(staging.read(spark, sf_dir)).select("doc_id", F.round("rep5", 6).alias("rep5")),
+    "top_grams": lambda spark, sf_dir: G.top_grams(staging.read(spark, sf_dir)),
+    "register_hits": lambda spark, sf_dir: G.register_hits(staging.read(spark, sf_dir)),
     "sentence_scores": _measured(lambda docs, lexicon: G.sentence_scores(G.sentence_features(docs, lexicon))),
     "trace_buckets": _measured(lambda docs, lexicon: G.trace_buckets(G.sentence_features(docs, lexicon))),
     "signals_long": _measured(_long),
@@ -56,21 +58,22 @@ QUERIES |= {
 }
 
 _TEXT = "(SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text FROM documents)"
-_FREQ = f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{S.WORD.replace(chr(39), chr(39) * 2)}')) AS word FROM {_TEXT}) GROUP BY ALL"
+_FREQ = f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({oracles._all('lower(text)', oracles.WORD)}) AS word FROM {_TEXT}) GROUP BY ALL"
+_EDGES = oracles._q(f"^{oracles.SPACE}+|{oracles.SPACE}+$")
 
 
 def _count(pattern: str) -> str:
-    return "len(regexp_extract_all(text, '" + pattern.replace("'", "''") + "'))"
+    return f"len({oracles._all('text', pattern)})"
 
 
-SQL = {
+SQL = oracles.SQL | {
     "word_freq": _FREQ,
     "word_stats": f"""SELECT doc_id, sum(n)::BIGINT AS words, count(*) AS types, round(avg((n = 1)::INT), 6) AS hapax,
         round(CASE WHEN sum(n) > 1 THEN 10000.0 * (sum(n * n) - sum(n)) / (sum(n) * sum(n)) ELSE 0 END, 6)::DOUBLE AS yules_k FROM ({_FREQ}) GROUP BY doc_id""",
     "typography_counts": f"""SELECT doc_id, {_count("[—–]")} AS dashes, {_count("[“”‘’]")} AS curly, {_count(chr(91) + chr(34) + chr(39) + chr(93))} AS straight,
-        {_count(chr(92) + ".[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "v" + chr(92) + "f" + chr(92) + "r]{2,}")} AS wide_gaps,
-        {_count(chr(92) + ".[ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "v" + chr(92) + "f" + chr(92) + "r]")} AS gaps,
-        {_count("[ ​-‍  ﻿⁠]")} AS odd_spaces, {_count(r"(?:^|\n)#{1,6}\s|\*\*[^*\n]{2,}\*\*")} AS heads,
-        len(ls) AS lines, len([x for x in ls if regexp_matches(x, '(?i)^([-*•‣▪]|\\d{{1,2}}[.)]|[a-z][.)])\\s+')]) AS items
-        FROM (SELECT *, [trim(l) for l in string_split(text, chr(10)) if trim(l) <> ''] AS ls FROM {_TEXT})""",
+        {_count(rf"\.{oracles.SPACE}{{2,}}")} AS wide_gaps, {_count(rf"\.{oracles.SPACE}")} AS gaps,
+        {_count(r"[\x{a0}\x{200b}-\x{200d}\x{2007}\x{202f}\x{feff}\x{2060}]")} AS odd_spaces,
+        {_count(r"(?:^|\n)#{1,6}" + oracles.SPACE + r"|\*\*[^*\n]{2,}\*\*")} AS heads,
+        len(ls) AS lines, len([x for x in ls if regexp_matches(x, {oracles._q("(?i)^(?:[-*•‣▪]|" + chr(92) + "d{1,2}[.)]|[a-z][.)])" + oracles.SPACE)})]) AS items
+        FROM (SELECT *, [l for l in [regexp_replace(x, {_EDGES}, '', 'g') for x in string_split(text, chr(10))] if l <> ''] AS ls FROM {_TEXT})""",
 }

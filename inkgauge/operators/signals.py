@@ -378,7 +378,7 @@ def findings(rows: DataFrame, n: int = 4) -> DataFrame:
     out = None
     for side, by in (("machine", F.desc("dev")), ("human", F.asc("dev"))):
         ranked = live.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(by, "place"))).where(F.col("rank") <= n)
-        part = ranked.select("doc_id", F.lit(side).alias("side"), "rank", "signal", F.round("dev", 6).alias("dev"))
+        part = ranked.select("doc_id", F.lit(side).alias("side"), "rank", "signal", F.round(F.col("dev") + 1e-10, 6).alias("dev"))
         out = part if out is None else out.unionByName(part)
     return out
 

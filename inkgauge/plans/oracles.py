@@ -208,7 +208,7 @@ _NAMES = [line.split("|")[0].strip() for line in G.SIGNALS.strip().splitlines()]
 
 
 def _entropy(column: str, table: str, name: str) -> str:
-    return f"""{name} AS (SELECT doc_id, -sum(c / t * log2(c / t)) AS h FROM (SELECT doc_id, count(*) AS c, sum(count(*)) OVER (PARTITION BY doc_id) AS t
+    return f"""{name} AS (SELECT doc_id, 0.0 - sum(c / t * log2(c / t)) AS h FROM (SELECT doc_id, count(*) AS c, sum(count(*)) OVER (PARTITION BY doc_id) AS t
   FROM {table} GROUP BY doc_id, {column}) GROUP BY doc_id)"""
 
 
@@ -219,9 +219,105 @@ def _in(lists: dict[str, str], word: str = "word") -> str:
 _TRIMMED = f"lambda p: regexp_replace(p, {_q('^' + SPACE + '+|' + SPACE + '+$')}, '', 'g')"
 _BLOCKS = lambda p: f"list_filter(list_transform(regexp_split_to_array(text, {_q(p)}), {_TRIMMED}), lambda p: p <> '')"
 _EASE = _by_code({c: f"{a!r} - {b!r} * words / sentences - {s!r} * syll / words" for c, (a, b, s) in G.READING_EASE.items()})
-#: A letter run of three or more that comes again after white space; runs of k equal words hold k // 2 slips.
-_DOUBLED = f"""doubled AS (SELECT doc_id, sum(k // 2) AS d FROM (SELECT doc_id, run, count(*) AS k FROM (
-  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
-    SELECT *, (i = 1 OR w IS NULL OR w IS DISTINCT FROM lag(w) OVER (PARTITION BY doc_id ORDER BY i))::INT AS fresh FROM (
-      SELECT doc_id, generate_subscripts(ps, 1) AS i, CASE WHEN regexp_matches(p, '^\\p{{L}}{{3,}}$') THEN lower(p) END AS w, unnest(ps) AS p
-      FROM (SELECT doc_id, {_all("regexp_replace(text, '[^\\p{L}\\t-\\r ]+', ' 0 ', 'g')", "[^\\t-\\r ]+")} AS ps FROM scored)))) WHERE w IS NOT NULL GROUP BY doc_id, run) GROUP BY doc_id)"""
+_ASCII = lambda c: f"regexp_matches({c}, '^[A-Za-z0-9_]')"
+#: A letter run, or its end, of three letters or more from an edge on, that begins the next run after
+#: white space, up to an edge; of matches one after another every second overlaps the one before.
+_DOUBLED = f"""runs AS (SELECT doc_id, i, p, lag(p) OVER w AS prior, lead(p) OVER w AS gap, lead(p, 2) OVER w AS again, lead(p, 3) OVER w AS later FROM (
+  SELECT doc_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS p FROM (SELECT doc_id, {_all("text", chr(92) + "p{L}+|" + SPACE + "+|[^" + chr(92) + "p{L}" + SPACE[1:-1] + "]+")} AS ps FROM scored))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (SELECT doc_id, i, len(list_filter(range(1, length(p) - 1), lambda j: starts_with(lower(again), lower(p[j:]))
+  AND {_ASCII("CASE WHEN j = 1 THEN coalesce(right(prior, 1), '') ELSE p[j - 1] END")} <> {_ASCII("p[j]")}
+  AND {_ASCII("again[length(p) - j + 1]")} <> {_ASCII("CASE WHEN length(again) > length(p) - j + 1 THEN again[length(p) - j + 2] ELSE coalesce(left(later, 1), '') END")})) > 0 AS same
+  FROM runs WHERE regexp_matches(p, '^\\p{{L}}') AND regexp_matches(gap, {_q("^" + SPACE)}) AND regexp_matches(again, '^\\p{{L}}') AND contains(lower(p), left(lower(again), 3))),
+doubled AS (SELECT doc_id, sum((k + 1) // 2) AS d FROM (SELECT doc_id, g, count(*) AS k FROM (
+  SELECT doc_id, i - 2 * row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM pairs WHERE same) GROUP BY doc_id, g) GROUP BY doc_id)"""
+
+
+def _n(pattern: str) -> str:
+    return f"len({_all('text', pattern.replace(chr(92) + 's', SPACE))})"
+
+
+SIGNALS = f"""{FEATURES},
+{_DOUBLED},
+shape AS (SELECT doc_id, avg(n) AS mean, coalesce(stddev_samp(n), 0) AS sd, avg(surp) AS mu, coalesce(stddev_samp(surp), 0) AS sigma FROM features GROUP BY doc_id),
+steps AS (SELECT *, sum(jump) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS run FROM (
+  SELECT *, (coalesce(abs(surp - lag(surp) OVER (PARTITION BY doc_id ORDER BY sent_idx)), 1) >= 0.4)::INT AS jump FROM features)),
+flat AS (SELECT doc_id, max(k) AS flat FROM (SELECT doc_id, run, count(*) AS k FROM steps GROUP BY ALL) GROUP BY doc_id),
+openers AS (SELECT doc_id, sum(c) AS top3 FROM (SELECT doc_id, count(*) AS c FROM features GROUP BY doc_id, first
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC) <= 3) GROUP BY doc_id),
+{_entropy("opener", "features", "opener_h")},
+rhythm AS (SELECT doc_id, any_value(code) AS code, count(*) AS sentences, any_value(mean) AS mean, any_value(sd) AS sd, any_value(mu) AS mu, any_value(sigma) AS sigma,
+  avg(pow((n - mean) / nullif(sd, 0), 4)) AS q4, avg(pow((n - mean) / nullif(sd, 0), 3)) AS q3, avg((n < 8)::INT) AS short, avg((n > 35)::INT) AS long,
+  avg((n BETWEEN 15 AND 28)::INT) AS band, avg((n < 6)::INT) AS tiny, avg((ended = 0)::INT) AS open_ended, avg((surp > mu + sigma)::INT) AS spikes,
+  sum(dm) AS dm, sum(rm) AS rm, sum(hg) AS hg, sum(contracted) AS contracted, avg(passive) AS passive, avg(exclaims) AS exclaims FROM features JOIN shape USING (doc_id) GROUP BY doc_id),
+freq AS (SELECT doc_id, code, word, count(*) AS f FROM words GROUP BY ALL),
+lens AS (SELECT doc_id, least(16, length(word)) AS size FROM words),
+{_entropy("size", "lens", "len_h")},
+lexical AS (SELECT doc_id, sum(f)::DOUBLE AS words, count(*) AS types, avg((f = 1)::INT) AS hapax, CASE WHEN sum(f) > 1 THEN 10000.0 * (sum(f * f) - sum(f)) / (sum(f) * sum(f)) ELSE 0 END AS yules,
+  sum(CASE WHEN {_in(V.FUNCTION_WORDS)} THEN f ELSE 0 END) AS fw, sum(CASE WHEN {_in(V.FIRST_PERSON)} THEN f ELSE 0 END) AS fp, sum(CASE WHEN {_in(V.INTENSIFIERS)} THEN f ELSE 0 END) AS it,
+  sum(CASE WHEN rank IS NULL THEN f ELSE 0 END) AS oov FROM freq LEFT JOIN lexicon USING (code, word) GROUP BY doc_id),
+zipf AS (SELECT doc_id, CASE WHEN count(*) > 20 THEN -regr_slope(ln(f), ln(r)) ELSE 1.07 END AS slope FROM (
+  SELECT doc_id, f, row_number() OVER (PARTITION BY doc_id ORDER BY f DESC, word) AS r FROM freq QUALIFY r <= 600) GROUP BY doc_id),
+starts AS (SELECT doc_id, sent_idx, tok, unnest(range(1, len(tok) - 3)) AS q FROM toks),
+grams AS (SELECT doc_id, count(*) AS c FROM starts GROUP BY doc_id, array_to_string(tok[q:q + 4], ' ')),
+repeats AS (SELECT doc_id, sum(CASE WHEN c > 1 THEN c ELSE 0 END) / sum(c) AS rep5 FROM grams GROUP BY doc_id),
+counted AS (SELECT *, greatest(1, floor(count(*) OVER (PARTITION BY doc_id) / 400)) AS k FROM toks),
+kept AS (SELECT *, coalesce(sum(len(tok)) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM counted WHERE sent_idx % k = 0),
+stream AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx, i) - 1 AS p
+  FROM (SELECT doc_id, sent_idx, unnest(tok) AS word, generate_subscripts(tok, 1) AS i FROM kept WHERE before <= 20000)),
+size AS (SELECT doc_id, count(*) AS n, count(DISTINCT word) AS types FROM stream GROUP BY doc_id),
+seen AS (SELECT *, lag(p) OVER (PARTITION BY doc_id, word ORDER BY p) AS q FROM stream),
+ratio AS (SELECT doc_id, CASE WHEN any_value(n) >= 50 THEN sum(greatest(0, least(p, n - 50) - greatest(p - 49, coalesce(q, -1) + 1, 0) + 1)) / 50 / (any_value(n) - 49)
+  ELSE any_value(types) / any_value(n) END AS mattr FROM seen JOIN size USING (doc_id) GROUP BY doc_id),
+blocks AS (SELECT doc_id, code, CASE WHEN len(b) < 3 AND contains(text, chr(10)) THEN {_BLOCKS(chr(92) + "n+")} ELSE b END AS ps
+  FROM (SELECT *, {_BLOCKS(chr(92) + "n[ " + chr(92) + "t]*" + chr(92) + "n+")} AS b FROM scored)),
+paras AS (SELECT doc_id, code, unnest(ps) AS text, generate_subscripts(ps, 1) AS pid FROM blocks),
+{sentence_ctes("paras", "psents", "doc_id, pid")},
+pwords AS (SELECT doc_id, code, pid, regexp_replace(lower(x), '[^' || {_by_code({c: _q(_LETTERS.get(c, "a-z")) for c in LANGUAGES})} || ']', '', 'g') AS w
+  FROM (SELECT doc_id, code, pid, unnest({_all("text", WORD)}) AS x FROM paras)),
+psyl AS (SELECT doc_id, pid, count(*) AS n, sum({_by_code(_SYLLABLES)}) AS syl FROM pwords GROUP BY ALL),
+pcount AS (SELECT doc_id, pid, count(*) AS s FROM psents GROUP BY ALL),
+pall AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(syl, 0) AS syl, greatest(1, coalesce(s, 0)) AS s FROM paras LEFT JOIN psyl USING (doc_id, pid) LEFT JOIN pcount USING (doc_id, pid)),
+structure AS (SELECT doc_id, count(*) AS paras, count(*) FILTER (WHERE n > 0) AS para_lens, coalesce(stddev_samp(n) FILTER (WHERE n > 0) / avg(n) FILTER (WHERE n > 0), 0) AS para_cv,
+  coalesce(stddev_samp(s) / avg(s), 0) AS para_sent_cv, count(*) FILTER (WHERE n >= 25) AS grades, sum(syl) AS syll,
+  CASE WHEN count(*) FILTER (WHERE n >= 25) > 2 THEN stddev_samp(0.39 * n / s + 11.8 * syl / n - 15.59) FILTER (WHERE n >= 25) ELSE 2.4 END AS grade_sd FROM pall GROUP BY doc_id),
+typed AS (SELECT doc_id, {_n("[—–]")} AS dashes, {_n("[“”‘’]")} AS curly, {_n("[" + chr(34) + "']")} AS straight, {_n(chr(92) + "." + chr(92) + "s{2,}")} AS wide, {_n(chr(92) + "." + chr(92) + "s")} AS gaps,
+  {_n("[" + chr(92) + "x{a0}" + chr(92) + "x{200b}-" + chr(92) + "x{200d}" + chr(92) + "x{2007}" + chr(92) + "x{202f}" + chr(92) + "x{feff}" + chr(92) + "x{2060}]")} AS odd,
+  {_n("(?:^|" + chr(92) + "n)#{1,6}" + chr(92) + "s|" + chr(92) + "*" + chr(92) + "*[^*" + chr(92) + "n]{2,}" + chr(92) + "*" + chr(92) + "*")} AS heads,
+  len(ls) AS lines, len(list_filter(ls, lambda x: regexp_matches(x, {_q("(?i)^(?:[-*•‣▪]|" + chr(92) + "d{1,2}[.)]|[a-z][.)])" + SPACE)}))) AS items,
+  {_n(chr(92) + "p{Ll}," + chr(92) + "p{L}")} + {_n(chr(92) + "p{Ll}" + chr(92) + "." + chr(92) + "p{Lu}")} + coalesce(d, 0) + CASE WHEN code = 'en' THEN {_n(chr(92) + "bi" + chr(92) + "b")} * 0.35 ELSE 0 END
+  + {_n("[!?]{2,}|" + chr(92) + ".{4,}")} + {_n(chr(92) + "s+[,.;:]")} + {_n(chr(92) + "b" + chr(92) + "p{Lu}{2,}" + chr(92) + "p{Ll}+")} * 0.5 AS slips
+  FROM (SELECT *, list_filter(list_transform(string_split(text, chr(10)), {_TRIMMED}), lambda x: x <> '') AS ls FROM scored) LEFT JOIN doubled USING (doc_id)),
+wide AS (SELECT *, sd / mean AS v0 FROM rhythm JOIN flat USING (doc_id) JOIN openers USING (doc_id) JOIN opener_h USING (doc_id) JOIN lexical USING (doc_id) JOIN zipf USING (doc_id)
+  JOIN (SELECT doc_id, h AS len_h FROM len_h) USING (doc_id) LEFT JOIN repeats USING (doc_id) JOIN ratio USING (doc_id) JOIN structure USING (doc_id) JOIN typed USING (doc_id)),
+raws AS (SELECT doc_id, code, words, sentences, para_lens, grades, lines, gaps, unnest([{", ".join(map(_q, _NAMES))}]) AS signal, unnest([v0, sd, mean,
+  CASE WHEN sentences >= 4 AND sd > 0 THEN q4 ELSE 3 END, CASE WHEN sentences >= 3 AND sd > 0 THEN q3 ELSE 0 END, short, long, band, mu, sigma, spikes, flat, oov / words, abs(slope - 1.07),
+  mattr, hapax, yules, len_h, fw / words, coalesce(rep5, 0), 1000.0 * dm / words, 1000.0 * rm / words, 1000.0 * hg / words, 1000.0 * contracted / words, 1000.0 * fp / words, 1000.0 * it / words,
+  passive, exclaims, top3 / sentences, h, para_cv, grade_sd, {_EASE}, CASE WHEN lines > 0 THEN items / lines ELSE 0 END, 1000.0 * heads / words, para_sent_cv, 1000.0 * dashes / words,
+  CASE WHEN curly + straight > 0 THEN abs(curly - straight) / (curly + straight) ELSE 0.5 END, wide / greatest(gaps, 1), 1000.0 * slips / words, 1000.0 * odd / words]::DOUBLE[]) AS value FROM wide),
+told AS (SELECT *, CASE WHEN signal = 'zipfDev' THEN words < 600 WHEN signal = 'rep5' THEN words < 300 WHEN signal = 'gradeSd' THEN grades < 3 WHEN signal IN ('paraCv', 'paraSentCv') THEN para_lens < 3
+  WHEN signal = 'doubleSpace' THEN gaps < 20 WHEN signal IN ('sentKurt', 'sentSkew') THEN sentences < 12 WHEN signal = 'flatRun' THEN sentences < 8 WHEN signal IN ('hapax', 'yulesK') THEN words < 200
+  WHEN signal = 'listRate' THEN lines < 6 WHEN signal = 'contraction' THEN code <> 'en' ELSE false END AS held FROM raws),
+signals AS (SELECT doc_id, code, signal, place, family, value, held, CASE WHEN held THEN 0 ELSE dir * (value - center) / spread END AS dev, CASE WHEN held THEN 0 ELSE w END AS weight
+  FROM told JOIN (VALUES {", ".join(_SPEC_ROWS)}) AS spec(code, signal, place, family, center, spread, dir, w) USING (code, signal)),
+evidence AS (SELECT *, least(2.5, greatest(-2.5, dev)) AS evidence FROM signals)"""
+
+_MEAN = "CASE WHEN sum(weight) > 0 THEN sum(weight * evidence) / sum(weight) ELSE 0 END"
+SQL |= {
+    "signals_long": f"""WITH {SIGNALS}
+SELECT doc_id, code, signal, family, held, round(value + 1e-10, 6) AS value, round(dev + 1e-10, 6) AS dev, round(evidence + 1e-10, 6) AS evidence, round(weight, 6) AS weight FROM evidence""",
+    "family_scores": f"WITH {SIGNALS}\nSELECT doc_id, family, round({_MEAN}, 6) AS score FROM evidence GROUP BY ALL",
+    "findings_top4": f"""WITH {SIGNALS},
+ranked AS (SELECT doc_id, 'machine' AS side, row_number() OVER (PARTITION BY doc_id ORDER BY dev DESC, place) AS rank, signal, dev FROM evidence WHERE NOT held
+  UNION ALL SELECT doc_id, 'human', row_number() OVER (PARTITION BY doc_id ORDER BY dev, place), signal, dev FROM evidence WHERE NOT held)
+SELECT doc_id, side, rank::INTEGER AS rank, signal, round(dev + 1e-10, 6) AS dev FROM ranked WHERE rank <= 4""",
+    "index_score": f"""WITH {SIGNALS},
+sums AS (SELECT doc_id, {_MEAN} AS logit FROM evidence GROUP BY doc_id),
+d AS (SELECT *, 1 / (1 + exp(-1.55 * logit)) AS idx, CASE WHEN lines > 0 THEN items / lines ELSE 0 END AS list_rate, words / greatest(para_lens, 1) AS per FROM sums JOIN wide USING (doc_id)),
+r AS (SELECT *, (list_rate > 0.3)::INT + (per < 12 AND paras > 8)::INT + (tiny > 0.42)::INT + (open_ended > 0.5)::INT AS reasons, list_rate > 0.6 OR (per < 8 AND paras > 12) AS over FROM d)
+SELECT doc_id, code, words::BIGINT AS words, round(logit, 6) AS logit, round(idx, 6) AS index, floor(idx * 100 + 0.5)::INTEGER AS percent,
+  round(least(0.5, greatest(0.035, 0.52 / sqrt(1 + words / 220.0) + 0.035)), 6) AS half,
+  CASE WHEN idx < 0.28 THEN 'Consistent with human authorship' WHEN idx < 0.45 THEN 'Leans human' WHEN idx < 0.58 THEN 'Indeterminate'
+    WHEN idx < 0.75 THEN 'Leans machine-assisted' ELSE 'Consistent with machine generation' END AS band,
+  CASE WHEN words < 120 THEN 'insufficient' WHEN words < 350 THEN 'low' WHEN words < 1200 THEN 'moderate' ELSE 'high' END AS reliability, NOT (reasons >= 2 OR over) AS prose FROM r""",
+}

@@ -34,9 +34,14 @@ def _measured(make):
     return run
 
 
+def _rounded(name):
+    """To six places; so that halves of the last place, which sums in another order miss, go up."""
+    return F.round(F.col(name) + 1e-10, 6).alias(name)
+
+
 def _long(docs, lexicon):
     rows = G.signals_long(G.document_signals(docs, lexicon))
-    return rows.select("doc_id", "code", "signal", "family", "held", *[F.round(c, 6).alias(c) for c in ("value", "dev", "evidence", "weight")])
+    return rows.select("doc_id", "code", "signal", "family", "held", *[_rounded(c) for c in ("value", "dev", "evidence")], "weight")
 
 
 def _scores(docs, lexicon):
@@ -45,7 +50,7 @@ def _scores(docs, lexicon):
 
 
 QUERIES |= {
-    "mattr": lambda spark, sf_dir: G.mattr(staging.read(spark, sf_dir)).select("doc_id", F.round(F.col("mattr") + 1e-10, 6).alias("mattr")),
+    "mattr": lambda spark, sf_dir: G.mattr(staging.read(spark, sf_dir)).select("doc_id", _rounded("mattr")),
     "rep5": lambda spark, sf_dir: G.rep5(staging.read(spark, sf_dir)).select("doc_id", F.round("rep5", 6).alias("rep5")),
     "top_grams": lambda spark, sf_dir: G.top_grams(staging.read(spark, sf_dir)),
     "register_hits": lambda spark, sf_dir: G.register_hits(staging.read(spark, sf_dir)),

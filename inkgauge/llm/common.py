@@ -16,7 +16,10 @@ SLICE_CHARS = 8_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one in fewer splits than there are cores is dealt out first, as its rows take long."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,14 +66,16 @@ def map_texts(
 class SharedFolder:
     """Tables written to the folder that driver and executors share, to cut lineage.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is used. A written table survives lost executors.
+    The folder comes from ``spark.checkpoint.dir``; only a local master may leave that unset
+    (tests on one machine), and a temporary folder is used. A written table survives lost executors.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="inkgauge-")
         self.root = f"{base.rstrip('/')}/inkgauge/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -85,11 +90,3 @@ class SharedFolder:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(path, True)
-
-
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -321,3 +321,57 @@ SELECT doc_id, code, words::BIGINT AS words, round(logit, 6) AS logit, round(idx
     WHEN idx < 0.75 THEN 'Leans machine-assisted' ELSE 'Consistent with machine generation' END AS band,
   CASE WHEN words < 120 THEN 'insufficient' WHEN words < 350 THEN 'low' WHEN words < 1200 THEN 'moderate' ELSE 'high' END AS reliability, NOT (reasons >= 2 OR over) AS prose FROM r""",
 }
+
+# ---- reports and pages -----------------------------------------------------------------------
+
+_INDEX = SQL["index_score"]
+_NOTED = """CASE WHEN signal = 'zipfDev' THEN 'needs 600+ words to fit a rank–frequency slope' WHEN signal = 'rep5' THEN 'needs 300+ words before repetition means anything'
+  WHEN signal = 'gradeSd' THEN 'needs 3+ paragraphs of 25 words or more' WHEN signal IN ('paraCv', 'paraSentCv') THEN 'needs 3+ paragraphs' WHEN signal = 'doubleSpace' THEN 'needs 20+ sentence-ending periods'
+  WHEN signal IN ('sentKurt', 'sentSkew') THEN 'needs 12+ sentences' WHEN signal = 'flatRun' THEN 'needs 8+ sentences' WHEN signal IN ('hapax', 'yulesK') THEN 'needs 200+ words'
+  WHEN signal = 'listRate' THEN 'needs 6+ lines' ELSE 'not a feature of the language' END"""
+_PAGE = "html"
+for _p, _r in (("(?s)<!--.*?-->", ""), *((f"(?is)<{_t}(?:{chr(92)}s[^>]*)?>.*?</{_t}{chr(92)}s*>", "") for _t in ("script", "style", "noscript", "svg", "head")),
+               (r"(?i)</(?:p|div|li|h[1-6]|tr|section|article|blockquote)\s*>|<(?:br|p|li)(?:\s[^>]*)?/?>", "\n\n"), ("<[a-zA-Z/!][^>]*>", "")):
+    _PAGE = f"regexp_replace({_PAGE}, {_q(_p)}, {_q(_r)}, 'g')"
+for _e, _r in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("nbsp", "\u00a0"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    _PAGE = f"replace({_PAGE}, '&{_e};', {_q(_r)})"
+_LEGIBLE = _all("substr(text, 1, 20000)", "[A-Za-z0-9\t-\r .,;:'\"()" + chr(92) + "-?!]")
+SQL |= {
+    "plain_reading": f"""WITH scores AS ({_INDEX})
+SELECT doc_id, percent, 100 - percent AS human_percent, floor(greatest(0, index - half) * 100 + 0.5)::INTEGER AS low, floor(least(1, index + half) * 100 + 0.5)::INTEGER AS high,
+  CASE WHEN percent < 28 THEN 'This reads like a person wrote it.' WHEN percent < 45 THEN 'This leans human, with some passages that read machine-like.'
+    WHEN percent < 58 THEN 'This could go either way. The bench genuinely cannot tell.' WHEN percent < 75 THEN 'This leans machine-written, probably with human editing on top.'
+    ELSE 'This reads like a machine wrote it.' END AS verdict,
+  CASE reliability WHEN 'insufficient' THEN 'The sample is far too short to mean anything. Treat it as noise.' WHEN 'low' THEN 'The sample is short, so the number could easily be 20 points either way.'
+    WHEN 'moderate' THEN 'Enough text for a direction, not a verdict.' ELSE 'The sample is long enough for the measurements to settle.' END AS trust,
+  CASE reliability WHEN 'insufficient' THEN 'Insufficient sample' WHEN 'low' THEN 'Low confidence' WHEN 'moderate' THEN 'Moderate confidence' ELSE 'Best available confidence' END AS confidence FROM scores""",
+    "held_signals": f"WITH {SIGNALS}\nSELECT doc_id, signal, {_NOTED} AS reason FROM evidence WHERE held",
+    "ladder": f"""WITH {SIGNALS}
+SELECT doc_id, signal, round((evidence + 2.5) / 5 * 100 + 1e-10, 6) AS position, abs(evidence) > 1 AS strong, round(center - spread, 6) AS low, round(center + spread, 6) AS high,
+  CASE WHEN held THEN 'held' WHEN dev >= 0 THEN 'machine' ELSE 'human' END AS toward
+FROM evidence JOIN (SELECT code, signal, center, spread FROM (VALUES {", ".join(_SPEC_ROWS)}) AS b(code, signal, place, family, center, spread, dir, w)) USING (code, signal)""",
+    "document_stats": f"""WITH {SIGNALS}
+SELECT doc_id, code, length(text) AS chars, words::BIGINT AS words, types, sentences, paras, syll::BIGINT AS syll, round({_EASE} + 1e-10, 6) AS flesch, round(slope + 1e-10, 6) AS "zipfSlope",
+  round(mu + 1e-10, 6) AS "surpMean", round(sigma + 1e-10, 6) AS "surpSd", round(mean + 1e-10, 6) AS "sentMean" FROM wide JOIN (SELECT doc_id, text FROM scored) USING (doc_id)""",
+    "shape_reasons": f"""WITH {SIGNALS},
+d AS (SELECT *, CASE WHEN lines > 0 THEN items / lines ELSE 0 END AS list_rate, words / greatest(para_lens, 1) AS per FROM wide)
+SELECT doc_id, place::INTEGER AS place, reason FROM (SELECT doc_id, unnest(range(4)) AS place, unnest([
+  CASE WHEN list_rate > 0.3 THEN floor(list_rate * 100 + 0.5)::INTEGER || '% of lines are bulleted or numbered' END,
+  CASE WHEN per < 12 AND paras > 8 THEN 'paragraphs average only ' || floor(per + 0.5)::INTEGER || ' words' END,
+  CASE WHEN tiny > 0.42 THEN floor(tiny * 100 + 0.5)::INTEGER || '% of sentences are under six words' END,
+  CASE WHEN open_ended > 0.5 THEN floor(open_ended * 100 + 0.5)::INTEGER || '% of lines end without punctuation' END]) AS reason FROM d) WHERE reason IS NOT NULL""",
+    "corpus_rollup": f"""WITH scores AS ({_INDEX}), origins AS (SELECT doc_id, min(source) AS source FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)
+SELECT code, source, count(*) AS documents, sum(words)::BIGINT AS words, round(avg(index) + 1e-10, 6) AS index FROM scores JOIN origins USING (doc_id) GROUP BY ROLLUP (code, source)""",
+    "paragraphs": f"""WITH {DETECTED},
+blocks AS (SELECT doc_id, CASE WHEN len(b) < 3 AND contains(text, chr(10)) THEN {_BLOCKS(chr(92) + "n+")} ELSE b END AS ps
+  FROM (SELECT *, {_BLOCKS(chr(92) + "n[ " + chr(92) + "t]*" + chr(92) + "n+")} AS b FROM scored))
+SELECT doc_id, (i - 1)::INTEGER AS para_idx, len({_all("para", WORD)})::INTEGER AS words, para FROM (SELECT doc_id, unnest(ps) AS para, generate_subscripts(ps, 1) AS i FROM blocks)""",
+    "plate_pages": f"""WITH {SENTENCES},
+paged AS (SELECT doc_id, sent_idx, sent_idx // 260 AS page, nl, row_number() OVER (PARTITION BY doc_id, sent_idx // 260 ORDER BY sent_idx) AS r FROM sents),
+told AS (SELECT *, sum((nl >= 2 AND r > 1)::INT) OVER (PARTITION BY doc_id, page ORDER BY sent_idx) AS block FROM paged)
+SELECT doc_id, page::BIGINT AS page, block::BIGINT AS block, count(*) AS sentences FROM told GROUP BY ALL""",
+    "page_texts": f"""WITH made AS (SELECT page_id, regexp_replace({_PAGE}, '\\n{{3,}}', chr(10) || chr(10), 'g') AS long FROM pages),
+cut AS (SELECT page_id, regexp_replace(long, '^[\\t-\\r ]+|[\\t-\\r ]+$', '', 'g') AS text FROM made)
+SELECT page_id, text, round(CASE WHEN text <> '' THEN len({_LEGIBLE}) / length(substr(text, 1, 20000)) ELSE 0 END + 1e-10, 6) AS legible,
+  length(regexp_replace(coalesce(text, ''), '[\\t-\\r ]', '', 'g')) >= 40 AS enough FROM cut""",
+}

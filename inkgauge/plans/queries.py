@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import signals as G
+from ..operators import reports as R
 from ..operators import style as S
-from ..sources import staging
+from ..sources import extract, staging
 from . import oracles
 
 QUERIES = {
@@ -62,6 +63,18 @@ QUERIES |= {
     "findings_top4": _measured(lambda docs, lexicon: G.findings(G.signals_long(G.document_signals(docs, lexicon)))),
 }
 
+QUERIES |= {
+    "plain_reading": _measured(lambda docs, lexicon: R.plain_reading(_scores(docs, lexicon))),
+    "held_signals": _measured(lambda docs, lexicon: R.held_signals(G.signals_long(G.document_signals(docs, lexicon)))),
+    "ladder": _measured(lambda docs, lexicon: R.ladder(G.signals_long(G.document_signals(docs, lexicon)))),
+    "document_stats": _measured(lambda docs, lexicon: R.document_stats(G.document_signals(docs, lexicon))),
+    "shape_reasons": _measured(lambda docs, lexicon: R.shape_reasons(G.document_signals(docs, lexicon))),
+    "corpus_rollup": lambda spark, sf_dir: R.corpus_rollup(QUERIES["index_score"](spark, sf_dir), staging.read(spark, sf_dir)),
+    "paragraphs": lambda spark, sf_dir: R.paragraph_rows(staging.read(spark, sf_dir)),
+    "plate_pages": lambda spark, sf_dir: R.plate_pages(staging.read(spark, sf_dir)),
+    "page_texts": lambda spark, sf_dir: extract.extract_pages(staging.read(spark, sf_dir, "pages")),
+}
+
 _TEXT = "(SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text FROM documents)"
 _FREQ = f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({oracles._all('lower(text)', oracles.WORD)}) AS word FROM {_TEXT}) GROUP BY ALL"
 _EDGES = oracles._q(f"^{oracles.SPACE}+|{oracles.SPACE}+$")

@@ -153,7 +153,7 @@ def _boundary(code: str) -> str:
     tail = r"[.!?…]*+[\"'”’)\]}»]*+(?=[ \t\n]|\z)"
     low = r"(?![ \t]{0,2}[\p{Ll},;:])"
     # The abbreviations come last, where all else fits.
-    known = rf"(?<!(?<![\p{{L}}'’])\.{{0,9}}(?iu:{short})\.)"
+    known = rf"(?<!(?<![\p{{L}}.'’])\.{{0,9}}(?iu:{short})\.)"
     return rf"(?=[.!?…])(?<![.!?…])(?:[!?…]{tail}|\.(?:(?<!\d\.)(?={tail}{low})|(?<=\d\.)(?={tail}(?!{SPACE}*\d){low})){known}{tail})"
 
 

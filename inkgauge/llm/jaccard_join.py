@@ -545,13 +545,11 @@ def jaccard_components(
     bound = hot.groupBy("c", "meta").agg(parts.alias("parts")).where(F.floor(F.col("meta") / 2) < F.col("parts")).select("c", "meta")
     rest = hot.join(bound, ["c", "meta"])
     place = F.row_number().over(Window.partitionBy("c", "meta").orderBy(F.desc("of"), F.desc("sig")))
-    rest = rest.withColumn("place", place).where(F.col("place") > spare)
-    own = Window.partitionBy("c", "meta")
-    others = F.when(F.count("*").over(own) <= TOLD_SIGS, F.collect_list("sig").over(own))
-    rest = folder.save(rest.select("c", "sig", "root", others.alias("sigs")), "rest")
+    rest = folder.save(rest.withColumn("place", place).where(F.col("place") > spare).select("c", "sig", "root"), "rest")
     folder.drop("hot")
     sizes = rest.groupBy("sig").agg(F.count("*").alias("members"), F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("sig", "members")
-    told = rest.join(classes.select("c", "n", "v"), "c")
+    own = rest.groupBy("c").agg(F.when(F.count("*") <= TOLD_SIGS, F.collect_list("sig")).alias("sigs"))
+    told = rest.join(classes.select("c", "n", "v").join(own, "c"), "c").select("sig", "c", "root", "n", "v", "sigs")
     more = verified(ordered(_across(told, sizes, percent)), "more")
     folder.drop("rest")
     if more.limit(1).count():

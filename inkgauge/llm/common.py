@@ -13,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Texts are handed to Python code in slices of at most so many characters (one text at least).
 SLICE_CHARS = 8_000_000
+#: Whether a query's shuffle files go when it ends; else they stay until the driver collects garbage.
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +82,14 @@ class SharedFolder:
         self.root = f"{base.rstrip('/')}/inkgauge/{label}-{uuid.uuid4().hex[:12]}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a table and reads it back; the shuffle files that made it are freed at once."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        was = self.spark.conf.get(FREES_SHUFFLES)
+        self.spark.conf.set(FREES_SHUFFLES, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(FREES_SHUFFLES, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

@@ -190,8 +190,8 @@ def signatures(found: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]
 
 
 def sketch_bits(high: int) -> int:
-    """Cells of a sketch for sets of up to that size, a power of two."""
-    return 1 << max(9, int(np.rint(np.log2(max(1, high) * 2))))
+    """Cells of a sketch for sets of up to that size, a power of two near it."""
+    return 1 << max(8, int(np.rint(np.log2(max(1, high)))))
 
 
 def sketch(found: np.ndarray, bits: int) -> bytes:
@@ -326,7 +326,8 @@ def _grouped(sigs: DataFrame) -> DataFrame:
             if not big:
                 for i, x in enumerate(group):
                     for y in group[i + 1 :]:
-                        add(x[0], y[0])
+                        if not x[1] & y[1] & 1:  # two sets that sign for their next band meet in their own
+                            add(x[0], y[0])
 
         def flush():
             made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
@@ -370,8 +371,11 @@ def _bound(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches do not exclude a link."""
-    one, two = (classes.select(F.col("c").alias(c), F.col("n").alias(n), F.col("v").alias(v)) for c, n, v in (("a", "m", "x"), ("b", "n", "y")))
+    # Sizes first, so that the sketches of fewer pairs travel.
+    one, two = (classes.select(F.col("c").alias(c), F.col("n").alias(n)) for c, n in (("a", "m"), ("b", "n")))
     near = pairs.join(two, "b").join(one, "a").where(F.least("m", "n") * 100 >= F.greatest("m", "n") * percent)
+    one, two = (classes.select(F.col("c").alias(c), F.col("v").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    near = near.join(two, "b").join(one, "a")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

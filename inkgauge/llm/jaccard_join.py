@@ -26,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +47,8 @@ SIGNED = 300_000
 GROUP_ROWS = 1024
 #: A class that keeps so many signatures at most tells them all, so a pair comes from one group alone.
 TOLD_SIGS = 64
+#: Words of sketches that a task compares at once, about.
+FOLDED_WORDS = 1 << 18
 #: Bytes of a text whose words are hashed at once; one word at least.
 HASHED = 1 << 16
 #: A table of so many rows at most (of two numbers each) is broadcast.
@@ -200,17 +203,25 @@ def sketch(found: np.ndarray, bits: int) -> bytes:
     return np.packbits((np.bincount(cells, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def folded(sketches: list[bytes], words: int) -> np.ndarray:
-    """The sketches as rows of so many 64-bit words; longer ones are folded, as their cells are."""
-    out = np.empty((len(sketches), words), np.uint64)
-    sizes = np.array([len(s) for s in sketches], np.int64)
+def folded(sketches: pa.Array, words: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Some of the sketches as rows of so many 64-bit words; longer ones are folded, as their cells are."""
+    ends = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + len(sketches) + 1].astype(np.int64) // 8
+    flat = np.frombuffer(sketches.buffers()[2], np.uint64, int(ends[-1]))
+    at = np.arange(len(sketches)) if at is None else at
+    begins, sizes = ends[at], ends[at + 1] - ends[at]
+    out = np.empty((len(at), words), np.uint64)
     for size in np.unique(sizes).tolist():
-        at = np.flatnonzero(sizes == size)
-        rows = np.frombuffer(b"".join([sketches[i] for i in at]), np.uint64)
-        out[at] = np.bitwise_xor.reduce(rows.reshape(len(at), -1, words), axis=1)
+        those = np.flatnonzero(sizes == size)
+        rows = flat[begins[those][:, None] + np.arange(size)]
+        out[those] = np.bitwise_xor.reduce(rows.reshape(len(those), -1, words), axis=1)
     return out
 
 
+def _sketch_words(sketches: pa.Array) -> np.ndarray:
+    """How many 64-bit words each sketch has."""
+    return pc.binary_length(sketches).to_numpy().astype(np.int64) // 8
+
+
 def _identity(found: np.ndarray) -> int:
     import xxhash
 
@@ -369,25 +380,31 @@ def _bound(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return (n + m) * (100 - percent) // (100 + percent)
 
 
-def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches do not exclude a link."""
-    # Sizes first, so that the sketches of fewer pairs travel.
+def _sized(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b, m, n: the pairs whose sizes do not exclude a link; sizes come first, so that fewer sketches travel."""
     one, two = (classes.select(F.col("c").alias(c), F.col("n").alias(n)) for c, n in (("a", "m"), ("b", "n")))
     near = pairs.join(two, "b").join(one, "a").where(F.least("m", "n") * 100 >= F.greatest("m", "n") * percent)
+    return near.select("a", "b", "m", "n")
+
+
+def _possible(near: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, with sizes m, n) that sketches do not exclude."""
     one, two = (classes.select(F.col("c").alias(c), F.col("v").alias(v)) for c, v in (("a", "x"), ("b", "y")))
     near = near.join(two, "b").join(one, "a")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (batch.column(i).to_pylist() for i in (2, 3))
-            words = np.array([min(len(p), len(q)) // 8 for p, q in zip(x, y, strict=True)], np.int64)
+            x, y = batch.column(2), batch.column(3)
+            words = np.minimum(_sketch_words(x), _sketch_words(y))
             most = _bound(batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)
             keep = np.zeros(len(words), bool)
             for size in np.unique(words).tolist():
                 at = np.flatnonzero(words == size)
-                apart = folded([x[i] for i in at], size) ^ folded([y[i] for i in at], size)
-                keep[at] = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= most[at]
+                for cut in range(0, len(at), FOLDED_WORDS // size + 1):
+                    few = at[cut : cut + FOLDED_WORDS // size + 1]
+                    apart = folded(x, size, few) ^ folded(y, size, few)
+                    keep[few] = np.bitwise_count(apart).sum(axis=1, dtype=np.int64) <= most[few]
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return near.select("a", "b", "x", "y", "m", "n").mapInArrow(run, schema)
@@ -410,8 +427,8 @@ def _across(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(group)
         second, c, root, n = (t.column(i).to_numpy() for i in (3, 4, 5, 6))
-        v, lists = t.column(7).to_pylist(), t.column(8).combine_chunks()
-        v = folded(v, min(map(len, v)) // 8)
+        v, lists = t.column(7).combine_chunks(), t.column(8).combine_chunks()
+        v = folded(v, int(_sketch_words(v).min()))
         sig, values, ends, tells = t.column(0)[0].as_py(), lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
         sigs: dict[int, set[int]] = {}
 
@@ -535,7 +552,9 @@ def jaccard_components(
         folder.drop(f"{label}-wanted")
         return made
 
-    links = verified(_possible(pairs, classes, percent), "links")
+    sized = folder.save(_sized(pairs, classes, percent), "sized")
+    links = verified(_possible(sized, classes, percent), "links")
+    folder.drop("sized")
     roots = components(links, folder, "first")
 
     # Large groups that span components, of sets that cannot leave them all out.

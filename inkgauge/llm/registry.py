@@ -12,6 +12,7 @@ from .media import op7_media_columns
 from .one_bit_search import OP8_SQL, op8_one_bit_search
 from .packing import op2_best_fit_packing
 from .piece_codec import op1_piece_codec
+from .ranked_search import OP11_SQL, op11_ranked_search
 from .secrets import OP4_SQL, op4_secret_scans
 from .token_counts import op6_token_counts
 from .toxicity import op3_toxicity
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_one_bit_search": op8_one_bit_search,
     "op9_url_filters": op9_url_filters,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_ranked_search": op11_ranked_search,
 }
 
 SQL: dict[str, str] = {
@@ -35,4 +37,5 @@ SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op8_one_bit_search": OP8_SQL,
     "op9_url_filters": OP9_SQL,
+    "op11_ranked_search": OP11_SQL,
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .jaccard_join import op10_jaccard_join
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .media import op7_media_columns
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_ranked_search": op11_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -38,4 +40,5 @@ SQL: dict[str, str] = {
     "op8_one_bit_search": OP8_SQL,
     "op9_url_filters": OP9_SQL,
     "op11_ranked_search": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .jaccard_join import op10_jaccard_join
+from .language_id import op12_language_id
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .media import op7_media_columns
 from .one_bit_search import OP8_SQL, op8_one_bit_search
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_ranked_search": op11_ranked_search,
+    "op12_language_id": op12_language_id,
     "op13_hard_negatives": op13_hard_negatives,
 }
 

@@ -6,6 +6,8 @@ Whether a chunk ends a sentence is read off the characters around it, and window
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from ..functions import fixed_values as V
 from ..functions import signal_values as G
 
@@ -329,13 +331,39 @@ _NOTED = """CASE WHEN signal = 'zipfDev' THEN 'needs 600+ words to fit a rank–
   WHEN signal = 'gradeSd' THEN 'needs 3+ paragraphs of 25 words or more' WHEN signal IN ('paraCv', 'paraSentCv') THEN 'needs 3+ paragraphs' WHEN signal = 'doubleSpace' THEN 'needs 20+ sentence-ending periods'
   WHEN signal IN ('sentKurt', 'sentSkew') THEN 'needs 12+ sentences' WHEN signal = 'flatRun' THEN 'needs 8+ sentences' WHEN signal IN ('hapax', 'yulesK') THEN 'needs 200+ words'
   WHEN signal = 'listRate' THEN 'needs 6+ lines' ELSE 'not a feature of the language' END"""
-_PAGE = "html"
-for _p, _r in (("(?s)<!--.*?-->", ""), *((f"(?is)<{_t}(?:{chr(92)}s[^>]*)?>.*?</{_t}{chr(92)}s*>", "") for _t in ("script", "style", "noscript", "svg", "head")),
-               (r"(?i)</(?:p|div|li|h[1-6]|tr|section|article|blockquote)\s*>|<(?:br|p|li)(?:\s[^>]*)?/?>", "\n\n"), ("<[a-zA-Z/!][^>]*>", "")):
-    _PAGE = f"regexp_replace({_PAGE}, {_q(_p)}, {_q(_r)}, 'g')"
-for _e, _r in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("nbsp", "\u00a0"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
-    _PAGE = f"replace({_PAGE}, '&{_e};', {_q(_r)})"
-_LEGIBLE = _all("substr(text, 1, 20000)", "[A-Za-z0-9\t-\r .,;:'\"()" + chr(92) + "-?!]")
+#: Tokens of a page: comments, tags with quoted values, declarations, texts; windows over them tell what is left out and what is open.
+_MARKUP = r"""(?s)<!--(?:-?>|.*?--!?>|.*$)|</?[a-zA-Z][^\s/>]*(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>|[^<]+|<"""
+_REFERENCE = "(?s)&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[a-zA-Z][a-zA-Z0-9]*;|(?:" + "|".join(sorted((n for n in html5 if n[-1] != ";"), key=lambda n: (-len(n), n))) + "))|[^&]+|&"
+_HIDES = ("script", "style", "noscript", "svg", "head", "template")
+_P = "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+_OPEN = {
+    "p": (_P, "true"), "li": (("li", "ul", "ol", "menu"), "tag IN ('li', '/ul', '/ol', '/menu')"),
+    "tr": (("tr", "table", "tbody", "thead", "tfoot"), "tag IN ('tr', '/table', 'tbody', '/tbody', 'thead', '/thead', 'tfoot', '/tfoot')"),
+}
+_WINDOWS = {i: bytes([i]).decode("cp1252", "ignore") for i in range(128, 160)}
+PAGES = f"""keyed AS (SELECT row_number() OVER () AS r, page_id, translate(regexp_replace(html, '\\r\\n?', chr(10), 'g'), chr(1) || chr(2), '') AS html FROM pages),
+cut AS (SELECT r, unnest(ts) AS tok, generate_subscripts(ts, 1) AS i FROM (SELECT r, {_all("html", _MARKUP)} AS ts FROM keyed)),
+named AS (SELECT *, lower(regexp_extract(tok, '^</?([a-zA-Z][^\\s/>]*)', 1)) AS name, starts_with(tok, '</') AS closing FROM cut),
+{", ".join(f"""h_{h} AS (SELECT r, i, max(CASE WHEN name = '{h}' AND closing THEN i END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto,
+  name = '{h}' AND NOT closing AND NOT (name = 'svg' AND tok LIKE '%/>') AS opens FROM named),
+in_{h} AS (SELECT r, i FROM (SELECT *, min(CASE WHEN opens THEN i END) OVER (PARTITION BY r, upto) AS since FROM h_{h}) WHERE i >= since)""" for h in _HIDES)},
+shown AS (SELECT r, i, tok, name, CASE WHEN closing THEN '/' ELSE '' END || name AS tag FROM named
+  WHERE {" AND ".join(f"(r, i) NOT IN (SELECT (r, i) FROM in_{h})" for h in _HIDES)}),
+{", ".join(f"""e_{k} AS (SELECT r, i FROM (SELECT r, i, tag, lag(tag) OVER (PARTITION BY r ORDER BY i) AS prior FROM shown WHERE name IN ({", ".join(map(_q, among))}))
+  WHERE prior = '{k}' AND tag <> '/{k}' AND {closes})""" for k, (among, closes) in _OPEN.items())},
+bare AS (SELECT r, string_agg(CASE WHEN tok[1] <> '<' OR tok = '<' THEN tok
+  ELSE CASE WHEN {" OR ".join(f"(r, i) IN (SELECT (r, i) FROM e_{k})" for k in _OPEN)} THEN chr(10) || chr(10) ELSE '' END
+    || CASE WHEN name = 'br' OR tag IN ({", ".join(_q("/" + b) for b in "p div li h1 h2 h3 h4 h5 h6 tr section article blockquote".split())}) THEN chr(10) || chr(10) ELSE '' END END, '' ORDER BY i) AS text
+  FROM shown GROUP BY r),
+refs AS (SELECT r, unnest(ps) AS ref, generate_subscripts(ps, 1) AS i FROM (SELECT r, {_all("text", _REFERENCE)} AS ps FROM bare)),
+codes AS (SELECT *, CASE WHEN regexp_matches(ref, '^&#[xX]') THEN list_reduce(list_prepend(0::HUGEINT, [(strpos('0123456789abcdef', c) - 1)::HUGEINT FOR c IN string_split(left(ltrim(lower(regexp_extract(ref, '^&#[xX]([0-9a-fA-F]+)', 1)), '0'), 9), '') IF c <> '']), lambda a, d: a * 16 + d)
+  WHEN starts_with(ref, '&#') THEN try_cast(regexp_extract(ref, '[0-9]+') AS HUGEINT) END AS code, starts_with(ref, '&#') AS numbered FROM refs),
+names AS (SELECT '&' || term AS ref, made FROM (VALUES {", ".join(f"({_q(n)}, {_q(c)})" for n, c in html5.items())}) AS n(term, made)),
+moved AS (SELECT code::HUGEINT AS code, made FROM (VALUES {", ".join(f"({i}, {_q(c)})" for i, c in _WINDOWS.items() if c)}) AS m(code, made)),
+made AS (SELECT r, string_agg(CASE WHEN NOT numbered THEN coalesce(names.made, codes.ref) WHEN moved.made IS NOT NULL THEN moved.made
+  WHEN code IS NULL OR code <= 0 OR code >= 1114112 OR code BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(code::INTEGER) END, '' ORDER BY i) AS text
+  FROM codes LEFT JOIN names USING (ref) LEFT JOIN moved USING (code) GROUP BY r)"""
+_LEGIBLE = _all("substr(text, 1, 20000)", "[A-Za-z0-9.,;:'\"()" + chr(92) + "-?!]|" + SPACE)
 SQL |= {
     "plain_reading": f"""WITH scores AS ({_INDEX})
 SELECT doc_id, percent, 100 - percent AS human_percent, floor(greatest(0, index - half) * 100 + 0.5)::INTEGER AS low, floor(least(1, index + half) * 100 + 0.5)::INTEGER AS high,
@@ -370,8 +398,9 @@ SELECT doc_id, (i - 1)::INTEGER AS para_idx, len({_all("para", WORD)})::INTEGER
 paged AS (SELECT doc_id, sent_idx, sent_idx // 260 AS page, nl, row_number() OVER (PARTITION BY doc_id, sent_idx // 260 ORDER BY sent_idx) AS r FROM sents),
 told AS (SELECT *, sum((nl >= 2 AND r > 1)::INT) OVER (PARTITION BY doc_id, page ORDER BY sent_idx) AS block FROM paged)
 SELECT doc_id, page::BIGINT AS page, block::BIGINT AS block, count(*) AS sentences FROM told GROUP BY ALL""",
-    "page_texts": f"""WITH made AS (SELECT page_id, regexp_replace({_PAGE}, '\\n{{3,}}', chr(10) || chr(10), 'g') AS long FROM pages),
-cut AS (SELECT page_id, regexp_replace(long, '^[\\t-\\r ]+|[\\t-\\r ]+$', '', 'g') AS text FROM made)
+    "page_texts": f"""WITH {PAGES},
+text AS (SELECT page_id, CASE WHEN html IS NOT NULL THEN regexp_replace(regexp_replace(coalesce(text, ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_q("^" + SPACE + "+|" + SPACE + "+$")}, '', 'g') END AS text
+  FROM keyed LEFT JOIN made USING (r))
 SELECT page_id, text, round(CASE WHEN text <> '' THEN len({_LEGIBLE}) / length(substr(text, 1, 20000)) ELSE 0 END + 1e-10, 6) AS legible,
-  length(regexp_replace(coalesce(text, ''), '[\\t-\\r ]', '', 'g')) >= 40 AS enough FROM cut""",
+  length(regexp_replace(coalesce(text, ''), {_q(SPACE)}, '', 'g')) >= 40 AS enough FROM text""",
 }

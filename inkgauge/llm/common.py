@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -49,18 +50,21 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, texts = 0, [t or "" for t in batch.column(len(names)).to_pylist()]
-            while at < len(texts):
+            at, texts = 0, batch.column(len(names))
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            while at < len(sizes):
                 end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE_CHARS):
-                    chars += len(texts[end])
+                while end < len(sizes) and (end == at or chars + sizes[end] <= SLICE_CHARS):
+                    chars += sizes[end]
                     end += 1
-                made = compute(texts[at:end])
+                made = compute([t or "" for t in texts.slice(at, end - at).to_pylist()])
                 columns = [batch.column(i).slice(at, end - at) for i in range(len(names))]
                 columns = [c.cast(arrow.field(i).type) for i, c in enumerate(columns)]
                 columns += [pa.array(made[f.name], type=arrow.field(f.name).type) for f in out.fields]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
                 at = end
+        # Workers serve one stage after the other; what this one needed must not stay.
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*[docs[k] for k in keys], docs[text_col]).mapInArrow(run, schema)
 

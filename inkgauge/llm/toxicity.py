@@ -283,9 +283,10 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            keep = [m.severity(t or "") < threshold for t in batch.column(at).to_pylist()]
+            keep = [m.severity(t.as_py() or "") < threshold for t in batch.column(at)]  # a text at a time
             kept = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns, arrow, strict=True)], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -58,3 +58,10 @@ VOTES = {
     "tr": """bir ve bu için de da ile ne olarak çok daha en gibi ama ancak kadar sonra önce her hiç şey olan var yok değil mi ki ise ya veya çünkü kendi onun bizim benim""",
     "sv": """och att det som en är av för på med inte den till har de om han var men ett vi kan sig från så ska vid eller när alla över mot efter under bara mycket också""",
 }
+# A language's name, its name for itself, how its bands came about, and what its reading ease is called.
+LANGUAGE_NAMES = {
+    "en": ("English", "English", "primary", "Flesch reading ease"),
+    "es": ("Spanish", "Español", "secondary", "Fernández Huerta"),
+    "pt": ("Portuguese", "Português", "secondary", "Fernández Huerta (adapted)"),
+    "fr": ("French", "Français", "secondary", "Kandel–Moles"),
+}

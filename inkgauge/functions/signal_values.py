@@ -88,3 +88,48 @@ FIRST_PERSON_IN = {
 
 # Constant, words and syllables of the reading ease.
 READING_EASE = {"en": (206.835, 1.015, 84.6), "es": (206.84, 1.02, 60.0), "pt": (206.84, 1.02, 60.0), "fr": (207.0, 1.015, 73.6)}
+
+# Signal ; its label ; its unit, in their natural order.
+LABELS = """
+burstiness ; Burstiness ; CV
+sentSd ; Sentence length σ ; words
+sentMean ; Sentence length μ ; words
+sentKurt ; Length kurtosis ;
+sentSkew ; Length skew ;
+shortRate ; Short sentences ; < 8 words
+longRate ; Long sentences ; > 35 words
+bandRate ; Mid-band concentration ; 15–28 words
+surpMean ; Mean surprisal ; bits/word
+surpSd ; Surprisal variance ; bits
+spikeRate ; Surprisal spikes ; share
+flatRun ; Longest flat run ; sentences
+oovRate ; Out-of-list words ; share
+zipfDev ; Zipf slope deviation ; |Δs|
+mattr ; MATTR (w=50) ;
+hapax ; Hapax legomena ; share
+yulesK ; Yule's K ;
+wordLenH ; Word-length entropy ; bits
+funcRate ; Function-word rate ; share
+rep5 ; Repeated 5-grams ; share
+discourse ; Discourse markers ; per 1k
+regMark ; Register markers ; per 1k
+hedge ; Hedges ; per 1k
+contraction ; Contractions ; per 1k
+firstPerson ; First person ; per 1k
+intens ; Intensifiers ; per 1k
+passive ; Passive constructions ; share of sent.
+exclaimQ ; ! and ? endings ; share of sent.
+openerRep ; Opener repetition ; share
+openerH ; Opener entropy ; bits
+paraCv ; Paragraph length CV ;
+gradeSd ; Readability σ ; FK grades
+flesch ; Flesch reading ease ;
+listRate ; List scaffolding ; share of lines
+headRate ; Markup residue ; per 1k
+paraSentCv ; Sentences per paragraph CV ;
+emDash ; Em dashes ; per 1k
+curly ; Quote consistency ;
+doubleSpace ; Double space after period ; share
+typo ; Slip rate ; per 1k
+unicode ; Invisible characters ; per 1k
+"""

@@ -61,29 +61,51 @@ def spec(spark) -> DataFrame:
 
 
 class Corpus:
-    """Documents whose texts are prepared: doc_id, code, text, sents (sentence, nl, tok: words in lower case)."""
+    """Documents whose texts are prepared once, in a written table.
 
-    def __init__(self, prepared: DataFrame):
-        self.docs = prepared
+    docs: doc_id, code, text, sents (sentence, nl, tok: words in lower case),
+    dms, rms, hgs (the markers of each kind that the text holds) of the documents that are measured;
+    languages: doc_id, status, code, top, confidence, margin, name, enough (whether a text is long enough to be examined) of all.
+    """
+
+    def __init__(self, prepared: DataFrame, name: str = "texts", folder: Staging | None = None):
+        self.docs = prepared.where("measured IS NOT NULL").select("doc_id", F.col("measured").alias("code"), "text", "sents", *KINDS)
+        self.languages = prepared.select("doc_id", "status", "code", "top", "confidence", "margin", "name", "measured", "enough")
+        self.name, self.folder = name, folder
+
+    def drop(self) -> None:
+        """Deletes the written table."""
+        if self.folder is not None:
+            self.folder.drop(self.name)
 
 
-def corpus(docs: DataFrame | Corpus) -> Corpus:
+# Kinds of markers.
+KINDS = {"dms": V.DISCOURSE, "rms": V.REGISTER, "hgs": V.HEDGES}
+
+
+def corpus(docs: DataFrame | Corpus, lang_col: str | None = None) -> Corpus:
     """Detects, splits and saves documents; a corpus stays as it is."""
     if isinstance(docs, Corpus):
         return docs
-    s = S.scored(S.unique(docs)).select("doc_id", "code", "text", S.segments(F.col("text"), F.col("code")).alias("seg"))
+    d = S.detected(S.unique(docs, *([lang_col] if lang_col else [])), lang_col)
+    # Refused documents keep their row, without a text.
+    kept = F.col("measured").isNotNull()
+    d = d.select("*", F.when(kept, S.segments(F.col("text"), F.col("measured"))).alias("seg"), F.when(kept, F.lower("text")).alias("low"))
 
     def sentence(x: Column) -> Column:
         feeds = F.regexp_count(F.regexp_extract(x, f"^({_SPACE}*)", 1), F.lit("\n"))
         return F.struct(S.trimmed(x).alias("sentence"), feeds.alias("nl"), F.transform(S.words(x), F.lower).alias("tok"))
 
-    made = s.select("doc_id", "code", "text", F.transform("seg", sentence).alias("sents"))
-    return Corpus(Staging(docs.sparkSession, "corpus").save(made, "texts"))
+    # A marker that no text of a document holds is in none of its sentences.
+    marks = {k: S.markers_in(F.col("low"), F.col("measured"), lists).alias(k) for k, lists in KINDS.items()}
+    made = d.select("doc_id", "status", "code", "top", "confidence", "margin", "name", "measured", F.when(kept, F.col("text")).alias("text"), F.transform("seg", sentence).alias("sents"), *marks.values(), S.enough(F.col("text")).alias("enough"))
+    folder = Staging(docs.sparkSession, "corpus")
+    return Corpus(folder.save(made, "texts"), "texts", folder)
 
 
-def sentence_rows(docs: DataFrame | Corpus) -> DataFrame:
-    """doc_id, code, sent_idx, sentence, nl, tok."""
-    return corpus(docs).docs.select("doc_id", "code", F.posexplode("sents").alias("sent_idx", "x")).select("doc_id", "code", "sent_idx", "x.*")
+def sentence_rows(docs: DataFrame | Corpus, *others: str) -> DataFrame:
+    """doc_id, code, sent_idx, sentence, nl, tok, and columns of the documents."""
+    return corpus(docs).docs.select("doc_id", "code", *others, F.posexplode("sents").alias("sent_idx", "x")).select("doc_id", "code", *others, "sent_idx", "x.*")
 
 
 def corpus_lexicon(docs: DataFrame | Corpus, size: int = LEXICON_WORDS) -> DataFrame:
@@ -123,10 +145,13 @@ def with_ranks(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def sentence_features(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """doc_id, code, sent_idx, n, surp and the marks of every sentence."""
-    s = sentence_rows(docs).select("*", F.lower("sentence").alias("low"), F.regexp_extract("sentence", S.WORD, 0).alias("begin"))
+    """doc_id, code, sent_idx, n, surp and the marks of every sentence.
 
-    held = lambda lists: S.markers_held(F.col("low"), F.col("code"), lists)
+    Of the markers only those are looked for that the document's text holds.
+    """
+    s = sentence_rows(docs, *KINDS).select("*", F.lower("sentence").alias("low"), F.regexp_extract("sentence", S.WORD, 0).alias("begin"))
+
+    held = lambda kind: F.size(F.filter(kind, lambda m: F.contains(F.col("low"), m)))
     first = F.col("tok")[0]
 
     def opener(code: str) -> Column:
@@ -141,8 +166,8 @@ def sentence_features(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
         return S.by_language(F.col("code"), {c: F.regexp_like("sentence", _pattern(patterns[c])) for c in S.LANGUAGES}).cast("int")
 
     marks = s.select(
-        "doc_id", "code", "sent_idx", "sentence", "nl", F.size("tok").alias("n"), first.alias("first"), S.by_language(F.col("code"), {c: opener(c) for c in S.LANGUAGES}).alias("opener"),
-        held(V.DISCOURSE).alias("dm"), held(V.REGISTER).alias("rm"), held(V.HEDGES).alias("hg"), like(G.PASSIVE).alias("passive"), like(G.FIRST_PERSON_IN).alias("human"),
+        "doc_id", "code", "sent_idx", F.size("tok").alias("n"), first.alias("first"), S.by_language(F.col("code"), {c: opener(c) for c in S.LANGUAGES}).alias("opener"),
+        held("dms").alias("dm"), held("rms").alias("rm"), held("hgs").alias("hg"), like(G.PASSIVE).alias("passive"), like(G.FIRST_PERSON_IN).alias("human"),
         F.regexp_like("low", _pattern(r"[’']\s?(s|t|re|ve|ll|d|m)(?![A-Za-z0-9_])")).cast("int").alias("contracted"),
         F.regexp_like("sentence", F.lit("[!?][\")'’”]*$")).cast("int").alias("exclaims"),
         F.regexp_like("sentence", F.lit("[.!?…][\")'’”]*$")).cast("int").alias("ended"),
@@ -300,7 +325,7 @@ def _paragraph_signals(docs: DataFrame) -> DataFrame:
 def slips(text: Column, code: Column) -> Column:
     """The weighted number of slips in a text."""
     count = lambda p: F.regexp_count(text, F.lit(p.replace(r"\b", _EDGE).replace(r"\s", _SPACE)))
-    alone = F.when(code == "en", count(r"\bi\b") * 0.35).otherwise(0.0)
+    alone = F.when(code == "en", count("(?<![A-Za-z0-9_])i(?![A-Za-z0-9_])") * 0.35).otherwise(0.0)
     return (
         count(r"\p{Ll},\p{L}") + count(r"\p{Ll}\.\p{Lu}") + count(r"(?iu)\b(\p{L}{3,})\s+\1\b") + alone + count(r"[!?]{2,}|\.{4,}")
         + count(r"\s+[,.;:]") + count(r"\b\p{Lu}{2,}\p{Ll}+") * 0.5
@@ -313,10 +338,17 @@ def _text_signals(docs: DataFrame) -> DataFrame:
     return S.typography(texts).join(odd, "doc_id")
 
 
-def document_signals(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+def saved_features(docs: DataFrame | Corpus, lexicon: DataFrame) -> DataFrame:
+    """sentence_features, written once."""
+    return Staging(lexicon.sparkSession, "features").save(sentence_features(docs, lexicon), "sentences")
+
+
+def document_signals(docs: DataFrame | Corpus, lexicon: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """doc_id, code, the 41 raw values and what holds depend on, for documents with sentences; written once."""
     docs = corpus(docs)
-    d = _sentence_signals(sentence_features(docs, lexicon)).join(_word_signals(docs, lexicon), "doc_id").join(_paragraph_signals(docs), "doc_id")
+    if features is None:
+        features = saved_features(docs, lexicon)
+    d = _sentence_signals(features).join(_word_signals(docs, lexicon), "doc_id").join(_paragraph_signals(docs), "doc_id")
     d = d.join(rep5(docs), "doc_id", "left").join(mattr(docs), "doc_id").join(_text_signals(docs), "doc_id")
     per = lambda c: 1000.0 * F.col(c) / F.col("words")
     quotes = F.col("curly") + F.col("straight")
@@ -424,19 +456,53 @@ def top_grams(docs: DataFrame, n: int = 8) -> DataFrame:
     return grams(docs).where("c > 1").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("doc_id", "rank", "gram", "c")
 
 
-def register_hits(docs: DataFrame, n: int = 14) -> DataFrame:
+def register_hits(docs: DataFrame | Corpus, n: int = 14) -> DataFrame:
     """doc_id, rank, marker, c: register markers by how often they occur, ties in their natural order."""
-    s = S.scored(S.unique(docs)).select("doc_id", "code", F.lower("text").alias("low"))
+    s = corpus(docs).docs.where(F.size("rms") > 0).select("doc_id", "rms", F.lower("text").alias("low"))
+    times = lambda m: ((F.length("low") - F.length(F.replace("low", m, F.lit("")))) / F.length(m)).cast("int")
+    counted = F.transform("rms", lambda m, i: F.struct((-times(m)).alias("minus"), i.alias("place"), m.alias("marker")))
+    rows = s.select("doc_id", F.posexplode(F.slice(F.sort_array(counted), 1, n)).alias("p", "x"))
+    return rows.select("doc_id", (F.col("p") + 1).alias("rank"), "x.marker", (-F.col("x.minus")).alias("c"))
 
-    def counted(code: str) -> Column:
-        marks = S._listed(V.REGISTER[code])
-        times = lambda m: ((F.length("low") - F.length(F.replace("low", F.lit(m), F.lit("")))) / len(m)).cast("int")
-        return F.array(*[F.struct((-times(m)).alias("minus"), F.lit(i).alias("place"), F.lit(m).alias("marker")) for i, m in enumerate(marks)])
 
-    found = S.by_language(F.col("code"), {c: counted(c) for c in S.LANGUAGES})
-    kept = F.slice(F.sort_array(F.filter(found, lambda x: x["minus"] < 0)), 1, n)
-    rows = s.select("doc_id", F.posexplode_outer(kept).alias("p", "x")).where("x IS NOT NULL")
-    return rows.select("doc_id", (F.col("p") + 1).alias("rank"), "x.marker", (-F.col("x.minus")).alias("c"))
+def marker_rates(docs: DataFrame | Corpus) -> DataFrame:
+    """doc_id, code, words and rates per thousand words of discourse and register markers and hedges,
+    and function words' share."""
+    s = sentence_rows(docs, *KINDS).withColumn("low", F.lower("sentence"))
+
+    def hits(lists: dict[str, str]) -> Column:
+        return F.size(F.filter("tok", lambda t: S.by_language(F.col("code"), {c: t.isin(S._listed(lists[c])) for c in S.LANGUAGES})))
+
+    held = lambda kind: F.size(F.filter(kind, lambda m: F.contains(F.col("low"), m)))
+    kinds = {"discourse": held("dms"), "regMark": held("rms"), "hedge": held("hgs"), "firstPerson": hits(V.FIRST_PERSON), "intens": hits(V.INTENSIFIERS)}
+    n = F.sum(F.size("tok"))
+    return s.groupBy("doc_id").agg(
+        n.alias("words"), *[F.round(1000.0 * F.sum(c) / n, 6).alias(k) for k, c in kinds.items()], F.round(F.sum(hits(V.FUNCTION_WORDS)) / n, 6).alias("funcRate")
+    )
+
+
+def rhythm(docs: DataFrame | Corpus) -> DataFrame:
+    """doc_id, sentences and the measurements of sentence lengths in words."""
+    return S.rhythm_of(sentence_rows(docs).select("doc_id", F.size("tok").alias("n")))
+
+
+def sentence_offsets(docs: DataFrame | Corpus) -> DataFrame:
+    """doc_id, sent_idx, offset, begin, length, nl: where sentences lie in the text with line feeds only.
+
+    offset is the end of what lies before, begin the sentence's first character (both from 0), nl the line feeds between
+    them. Segments without a letter are no sentences, but take their place. Only lengths are shuffled.
+    """
+    segs = F.split(S.marked(F.col("text"), F.col("code")), "\u0001")
+    rows = corpus(docs).docs.select("doc_id", F.posexplode(segs).alias("pos", "seg"))
+    lead = F.regexp_extract("seg", f"^({_SPACE}*)", 1)
+    rows = rows.select(
+        "doc_id", "pos", F.length("seg").alias("size"), F.length(lead).alias("lead"), F.regexp_count(lead, F.lit("\n")).alias("nl"),
+        F.length(S.trimmed(F.col("seg"))).alias("length"), F.regexp_like("seg", F.lit(r"\p{L}")).cast("int").alias("kept"),
+    )
+    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {c: F.coalesce(F.sum(x).over(before), F.lit(0)) for c, x in (("offset", "size"), ("sent_idx", "kept"))}
+    rows = rows.withColumns(sums).where("kept = 1")
+    return rows.select("doc_id", F.col("sent_idx").cast("int").alias("sent_idx"), "offset", (F.col("offset") + F.col("lead")).alias("begin"), "length", "nl")
 
 
 def trace_buckets(rows: DataFrame, points: int = 520) -> DataFrame:

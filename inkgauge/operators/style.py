@@ -17,16 +17,41 @@ WORD = r"\p{L}[\p{L}'’]*"
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
-def unique(docs: DataFrame) -> DataFrame:
-    """doc_id, text: a row for each doc_id that is not null, dealt by it. Repeated rows are one document;
-    of several texts with one doc_id the smallest is measured. Other columns are not read."""
-    return docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text"))
+#: So many repeated ids at most are broadcast (8 bytes each, if they are numbers).
+BROADCAST_IDS = 1_000_000
+
+
+def unique(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, text and the other columns named: a row for each doc_id that is not null.
+
+    Repeated rows are one document; of several texts with one doc_id the smallest is measured, with the
+    smallest values of the other columns beside it. Ids are counted first, by themselves: texts move
+    only where an id repeats.
+    """
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *others)
+    ids = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    n = ids.limit(BROADCAST_IDS + 1).count()
+    if not n:
+        return known
+    if n <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    one = known.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("x")).select("doc_id", "x.*")
+    return known.join(ids, "doc_id", "left_anti").unionByName(one)
 
 
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+#: A document has so many characters besides white space at least.
+LEAST_CHARS = 40
+
+
+def enough(text: Column) -> Column:
+    """Whether a text has enough characters besides white space to be measured; null has none."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")) >= LEAST_CHARS
+
+
 def normalised(docs: DataFrame) -> DataFrame:
     """doc_id, text with line feeds only; null texts are empty."""
     return docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n").alias("text"))
@@ -69,60 +94,96 @@ SCRIPTS = {
 }
 
 
-def detected(docs: DataFrame) -> DataFrame:
-    """doc_id, text, status (ok, too_short, unsupported, unknown), code, top: narrow, no shuffle."""
-    d = normalised(docs)
-    head = F.substring("text", 1, 4000)
+# Names of languages and scripts that are recognised but not measured, and of those that are.
+UNMEASURED = {"it": "Italian", "de": "German", "nl": "Dutch", "ca": "Catalan", "pl": "Polish", "ru": "Russian", "tr": "Turkish", "sv": "Swedish"}
+SCRIPT_NAMES = {
+    "cyrillic": "a Cyrillic script (Russian, Ukrainian, Bulgarian or similar)",
+    "greek": "Greek",
+    "arabic": "an Arabic script",
+    "hebrew": "Hebrew",
+    "cjk": "Chinese, Japanese or Korean",
+    "devanagari": "a Devanagari script (Hindi, Marathi or similar)",
+    "thai": "Thai",
+}
+#: Below this vote no language is told; at this vote the confidence is 1.
+LEAST_VOTE, FULL_VOTE = 0.035, 0.25
+
+
+def detected(docs: DataFrame, lang_col: str | None = None) -> DataFrame:
+    """doc_id, text, status, code, top, confidence, margin, name, detected: narrow, no shuffle.
+
+    status: ok, pinned, too_short, unsupported, unknown. ``lang_col`` pins a document's language where it
+    names one that is measured; its text is voted on all the same. name is that of the language or script.
+    """
+    d = docs.select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n").alias("text"), (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("pinned"))
+    foreign = "".join(v for k, v in SCRIPTS.items() if k != "latin")
+    letters = F.regexp_replace(F.substring("text", 1, 4000), f"[^{SCRIPTS['latin']}{foreign}]+", "")
+    known = sorted({w for words_ in V.VOTES.values() for w in _listed(words_)})
     tokens = F.slice(words(F.lower(F.substring("text", 1, 60000))), 1, 6000)
-    d = d.select(
-        "doc_id", "text", F.substring("text", 1, 20000).alias("s"), tokens.alias("tok"),
-        *[F.regexp_count(head, F.lit(f"[{v}]")).alias(f"n_{k}") for k, v in SCRIPTS.items()],
-    )
-    n = F.size("tok")
-    foreign = F.greatest(*[F.col(f"n_{k}") for k in SCRIPTS if k != "latin"])
-    total = sum((F.col(f"n_{k}") for k in SCRIPTS), F.lit(0))
+    # Most letters are Latin, and about half of the words are in no list: neither is gone through again.
+    d = d.select("doc_id", "text", "pinned", F.substring("text", 1, 20000).alias("s"), letters.alias("letters"), tokens.alias("tok"))
+    d = d.select("*", F.regexp_replace("letters", f"[{SCRIPTS['latin']}]+", "").alias("far"), F.filter("tok", lambda t: t.isin(known)).alias("hits"))
+    counts = [F.regexp_count("far", F.lit(f"[{v}]")) for k, v in SCRIPTS.items() if k != "latin"]
+    n, total = F.size("tok"), F.length("letters")
 
     def score(code: str) -> Column:
-        votes = F.size(F.filter("tok", lambda t: t.isin(_listed(V.VOTES[code]))))
-        s = votes / F.greatest(n, F.lit(1))
+        s = F.size(F.filter("hits", lambda t: t.isin(_listed(V.VOTES[code])))) / F.greatest(n, F.lit(1))
         if code in CUES:
             pattern, weight = CUES[code]
             s = s + F.regexp_count("s", F.lit(pattern)) * 1000.0 / F.greatest(F.lit(1), F.length("s")) * weight
         return s
 
-    # Ties go to the language that is listed first.
-    order = {c: i for i, c in enumerate(V.VOTES)}
-    best = F.array_max(F.array(*[F.struct(F.round(score(c), 9).alias("s"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for c, i in order.items()]))
-    d = d.select("doc_id", "text", n.alias("n"), ((foreign > F.col("n_latin")) & (foreign > 0.35 * total)).alias("strange"), best.alias("best"))
+    # Ties go to the language, and the script, that is listed first.
+    ranked = F.sort_array(F.array(*[F.struct(F.round(score(c), 9).alias("s"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for i, c in enumerate(V.VOTES)]), asc=False)
+    script = F.when(F.length("far") > 0, F.array_max(F.array(*[F.struct(c.alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, c) in enumerate(zip(SCRIPT_NAMES, counts, strict=True))])))
+    d = d.select("doc_id", "text", "pinned", n.alias("n"), total.alias("total"), (total - F.length("far")).alias("latin"), script.alias("script"), F.slice(ranked, 1, 2).alias("best"))
+    top, second, code = F.col("best")[0]["s"], F.col("best")[1]["s"], F.col("best")[0]["c"]
+    strange = F.coalesce((F.col("script.n") > F.col("latin")) & (F.col("script.n") > 0.35 * F.col("total")), F.lit(False))
+    pinned = F.when(F.col("pinned").isin(*LANGUAGES), F.col("pinned"))
     status = (
-        F.when(F.col("strange"), "unsupported").when(F.col("n") < 20, "too_short").when(F.col("best.s") < 0.035, "unknown")
-        .when(F.col("best.c").isin(*LANGUAGES), "ok").otherwise("unsupported")
+        F.when(pinned.isNotNull(), "pinned").when(strange, "unsupported").when(F.col("n") < 20, "too_short").when(top < LEAST_VOTE, "unknown")
+        .when(code.isin(*LANGUAGES), "ok").otherwise("unsupported")
     )
-    return d.select("doc_id", "text", status.alias("status"), F.col("best.c").alias("c"), F.round("best.s", 6).alias("top")).select(
-        "doc_id", "text", "status", F.when(F.col("status") == "ok", F.col("c")).alias("code"), F.when(F.col("status").isin("ok", "unknown"), F.col("top")).alias("top")
-    )
+    d = d.select("doc_id", "text", status.alias("status"), pinned.alias("pinned"), strange.alias("strange"), F.col("script.k").alias("script"), code.alias("c"), top.alias("top"), second.alias("second"))
+    ok = F.col("status") == "ok"
+    told = F.when(ok, F.col("c")).otherwise(F.col("pinned"))
+    names = {c: V.LANGUAGE_NAMES[c][0] for c in LANGUAGES} | UNMEASURED
+    return d.select(
+        "doc_id", "text", "status", told.alias("code"), F.when(F.col("status").isin("ok", "unknown"), F.round("top", 6)).alias("top"),
+        F.when(ok, F.round(F.least(F.lit(1.0), F.col("top") / FULL_VOTE), 6)).alias("confidence"), F.when(ok, F.round(F.col("top") - F.col("second"), 6)).alias("margin"),
+        F.when(F.col("status") == "unsupported", F.when(F.col("strange"), chosen(F.col("script"), SCRIPT_NAMES)).otherwise(chosen(F.col("c"), names))).otherwise(chosen(told, names)).alias("name"),
+        F.when(F.col("status").isin("ok", "too_short", "pinned"), F.coalesce(told, F.lit("en"))).alias("measured"),
+    )
+
+
+def chosen(key: Column, choices: dict[str, str]) -> Column:
+    """The text of a key; null where there is none."""
+    made = F.lit(None).cast("string")
+    for k, text in choices.items():
+        made = F.when(key == k, F.lit(text)).otherwise(made)
+    return made
 
 
-def detect_language(docs: DataFrame) -> DataFrame:
-    """doc_id, status, code, top."""
-    return detected(docs).drop("text")
+def detect_language(docs: DataFrame, lang_col: str | None = None) -> DataFrame:
+    """doc_id, status, code, top (the vote), confidence, margin to the next language, name."""
+    return detected(docs, lang_col).drop("text", "measured")
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, lang_col: str | None = None) -> DataFrame:
     """doc_id, text, code of the documents that are measured: short ones count as English, refused ones are left out."""
     # A filter on status would be pushed below and work the detection out again for each mention of it.
-    kept = F.when(F.col("status").isin("ok", "too_short"), F.array(F.struct("text", F.coalesce("code", F.lit("en")).alias("code"))))
-    return detected(docs).select("doc_id", F.explode_outer(kept).alias("x")).where("x IS NOT NULL").select("doc_id", "x.text", "x.code")
+    kept = F.when(F.col("measured").isNotNull(), F.array(F.struct("text", F.col("measured").alias("code"))))
+    return detected(docs, lang_col).select("doc_id", F.explode_outer(kept).alias("x")).where("x IS NOT NULL").select("doc_id", "x.text", "x.code")
 
 
 def word_freq(docs: DataFrame) -> DataFrame:
-    """doc_id, word, n."""
-    d = normalised(docs)
+    """doc_id, word, n: a row for each word of a document; see ``unique`` for rows that repeat. Null and empty texts have none."""
+    d = normalised(unique(docs))
     return d.select("doc_id", F.explode(words(F.lower("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 def word_stats(docs: DataFrame) -> DataFrame:
-    """doc_id, words, types, hapax, yules_k, for documents with words."""
+    """doc_id, words, types, hapax, yules_k, for documents with words; see ``word_freq``."""
     n, f2 = F.sum("n"), F.sum(F.col("n") * F.col("n"))
     return word_freq(docs).groupBy("doc_id").agg(
         n.alias("words"), F.count("*").alias("types"),
@@ -135,14 +196,15 @@ def typography(docs: DataFrame) -> DataFrame:
     """doc_id and counts of marks: dashes, curly and straight quotes, wide gaps, odd spaces, list lines, heads."""
     d = normalised(docs)
     count = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    lines = F.filter(F.transform(F.split("text", "\n"), trimmed), lambda x: x != "")
-    item = F.lit(r"(?i)^([-*•‣▪]|\d{1,2}[.)]|[a-z][.)])" + SPACE)
+    # Lines with something on them, and those of which a mark and something behind it begin.
+    blank = f"[{SPACE[1:-1]}&&[^\n]]"
+    lines, items = count(f"(?dm)^{blank}*+[^{SPACE[1:-1]}]"), count(rf"(?dmi)^{blank}*+(?:[-*•‣▪]|\d{{1,2}}[.)]|[a-z][.)]){blank}++[^{SPACE[1:-1]}]")
     return d.select(
         "doc_id", count("[—–]").alias("dashes"), count("[“”‘’]").alias("curly"), count("[\"']").alias("straight"),
         count(rf"\.{SPACE}{{2,}}").alias("wide_gaps"), count(rf"\.{SPACE}").alias("gaps"),
         count("[ ​-‍  ﻿⁠]").alias("odd_spaces"),
         count(r"(?:^|\n)#{1,6}" + SPACE + r"|\*\*[^*\n]{2,}\*\*").alias("heads"),
-        F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: F.regexp_like(x, item))).cast("long").alias("items"),
+        lines.alias("lines"), items.alias("items"),
     )
 
 
@@ -157,10 +219,14 @@ def _boundary(code: str) -> str:
     return rf"(?=[.!?…])(?<![.!?…])(?:[!?…]{tail}|\.(?:(?<!\d\.)(?={tail}{low})|(?<=\d\.)(?={tail}(?!{SPACE}*\d){low})){known}{tail})"
 
 
+def marked(text: Column, code: Column) -> Column:
+    """The text with a mark behind each sentence. Languages not scored split as English."""
+    return by_language(code, {c: F.regexp_replace(text, F.lit(_boundary(c)), F.lit("$0\u0001")) for c in LANGUAGES})
+
+
 def segments(text: Column, code: Column) -> Column:
-    """The text's segments with a letter, with the white space before them. Languages not scored split as English."""
-    marked = by_language(code, {c: F.regexp_replace(text, F.lit(_boundary(c)), F.lit("$0\u0001")) for c in LANGUAGES})
-    return F.filter(F.split(marked, "\u0001"), lambda x: F.regexp_like(x, F.lit(r"\p{L}")))
+    """The text's segments with a letter, with the white space before them."""
+    return F.filter(F.split(marked(text, code), "\u0001"), lambda x: F.regexp_like(x, F.lit(r"\p{L}")))
 
 
 def split_sentences(text: Column, code: Column) -> Column:
@@ -173,9 +239,8 @@ def sentences(docs: DataFrame) -> DataFrame:
     return scored(docs).select("doc_id", "code", F.posexplode_outer(split_sentences(F.col("text"), F.col("code"))).alias("sent_idx", "sentence")).where("sent_idx IS NOT NULL")
 
 
-def rhythm(docs: DataFrame) -> DataFrame:
-    """doc_id, sentences and the measurements of sentence lengths in words."""
-    rows = sentences(unique(docs)).select("doc_id", F.size(words(F.col("sentence"))).alias("n"))
+def rhythm_of(rows: DataFrame) -> DataFrame:
+    """The measurements of sentence lengths (doc_id, n)."""
     s = rows.groupBy("doc_id").agg(
         F.count("*").alias("sentences"), F.avg("n").alias("mean"), F.coalesce(F.stddev_samp("n"), F.lit(0.0)).alias("sd"),
         F.kurtosis("n").alias("kurt"), F.skewness("n").alias("skew"), *[F.avg(c.cast("double")).alias(a) for a, c in (
@@ -190,23 +255,7 @@ def rhythm(docs: DataFrame) -> DataFrame:
     )
 
 
-def markers_held(low: Column, code: Column, lists: dict[str, str]) -> Column:
-    """How many of the language's markers a sentence in lower case holds, each counted once."""
+def markers_in(low: Column, code: Column, lists: dict[str, str]) -> Column:
+    """Those of the language's markers that a text in lower case holds, in their natural order; null for no text."""
     listed = by_language(code, {c: F.array(*map(F.lit, _listed(lists[c]))) for c in LANGUAGES})
-    return F.size(F.filter(listed, lambda m: F.contains(low, m)))
-
-
-def marker_rates(docs: DataFrame) -> DataFrame:
-    """doc_id, code, words and rates per thousand words of discourse and register markers and hedges,
-    and function words' share."""
-    s = sentences(unique(docs)).withColumn("low", F.lower("sentence")).withColumn("tok", words(F.col("low")))
-
-    def hits(lists: dict[str, str]) -> Column:
-        return F.size(F.filter("tok", lambda t: by_language(F.col("code"), {c: t.isin(_listed(lists[c])) for c in LANGUAGES})))
-
-    held = lambda lists: markers_held(F.col("low"), F.col("code"), lists)
-    kinds = {"discourse": held(V.DISCOURSE), "regMark": held(V.REGISTER), "hedge": held(V.HEDGES), "firstPerson": hits(V.FIRST_PERSON), "intens": hits(V.INTENSIFIERS)}
-    n = F.sum(F.size("tok"))
-    return s.groupBy("doc_id").agg(
-        n.alias("words"), *[F.round(1000.0 * F.sum(c) / n, 6).alias(k) for k, c in kinds.items()], F.round(F.sum(hits(V.FUNCTION_WORDS)) / n, 6).alias("funcRate")
-    )
+    return F.filter(listed, lambda m: F.contains(low, m))

@@ -49,6 +49,12 @@ _CUES = {
 _FOREIGN = "greatest(" + ", ".join(f"n_{k}" for k in _SCRIPTS if k != "latin") + ")"
 _CUE = "CASE code " + " ".join(f"WHEN '{c}' THEN len({_all('s', p)}) * 1000.0 / greatest(1, length(s)) * {w}" for c, (p, w) in _CUES.items()) + " ELSE 0 END"
 
+_SCRIPT_NAMES = {
+    "cyrillic": "a Cyrillic script (Russian, Ukrainian, Bulgarian or similar)", "greek": "Greek", "arabic": "an Arabic script", "hebrew": "Hebrew", "cjk": "Chinese, Japanese or Korean",
+    "devanagari": "a Devanagari script (Hindi, Marathi or similar)", "thai": "Thai",
+}
+_NAMES_OF = {"en": "English", "es": "Spanish", "pt": "Portuguese", "fr": "French", "it": "Italian", "de": "German", "nl": "Dutch", "ca": "Catalan", "pl": "Polish", "ru": "Russian", "tr": "Turkish", "sv": "Swedish"}
+_NAME = "CASE status WHEN 'unsupported' THEN coalesce(script, " + "CASE best " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in _NAMES_OF.items()) + " END) WHEN 'ok' THEN CASE best " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in _NAMES_OF.items()) + " END END"
 TEXTS = """texts AS (SELECT doc_id, regexp_replace(coalesce(min(text), ''), '\\r\\n?', chr(10), 'g') AS text
   FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)"""
 
@@ -59,9 +65,10 @@ hits AS (SELECT doc_id, code, count(*) AS c FROM (SELECT doc_id, unnest(tok) AS
 langs AS (SELECT unnest({list(V.VOTES)}) AS code, unnest(range({len(V.VOTES)})) AS ord),
 scores AS (SELECT doc_id, code, ord, round(coalesce(c, 0) / greatest(len(tok), 1) + {_CUE}, 9) AS score
   FROM heads CROSS JOIN langs LEFT JOIN hits USING (doc_id, code)),
-best AS (SELECT doc_id, arg_max(code, (score, -ord)) AS best, max(score) AS score FROM scores GROUP BY doc_id),
+best AS (SELECT doc_id, arg_max(code, (score, -ord)) AS best, max(score) AS score, list_sort(list(score), 'DESC')[2] AS second FROM scores GROUP BY doc_id),
 detected AS (SELECT doc_id, CASE WHEN {_FOREIGN} > n_latin AND {_FOREIGN} > 0.35 * ({" + ".join("n_" + k for k in _SCRIPTS)}) THEN 'unsupported'
-  WHEN len(tok) < 20 THEN 'too_short' WHEN score < 0.035 THEN 'unknown' WHEN best IN {LANGUAGES} THEN 'ok' ELSE 'unsupported' END AS status, best, score
+  WHEN len(tok) < 20 THEN 'too_short' WHEN score < 0.035 THEN 'unknown' WHEN best IN {LANGUAGES} THEN 'ok' ELSE 'unsupported' END AS status, best, score, second,
+  CASE WHEN {_FOREIGN} > n_latin AND {_FOREIGN} > 0.35 * ({" + ".join("n_" + k for k in _SCRIPTS)}) THEN CASE {_FOREIGN} {" ".join(f"WHEN n_{k} THEN {_q(n)}" for k, n in _SCRIPT_NAMES.items())} END END AS script
   FROM heads JOIN best USING (doc_id)),
 scored AS (SELECT doc_id, text, CASE status WHEN 'ok' THEN best ELSE 'en' END AS code FROM texts JOIN detected USING (doc_id) WHERE status IN ('ok', 'too_short'))"""
 
@@ -138,7 +145,11 @@ grams AS (SELECT doc_id, gram, count(*) AS c, min((sent_idx, q)) AS place
 
 SQL = {
     "language_detect": f"""WITH {DETECTED}
-SELECT doc_id, status, CASE WHEN status = 'ok' THEN best END AS code, CASE WHEN status IN ('ok', 'unknown') THEN round(score, 6) END AS top FROM detected""",
+SELECT doc_id, status, CASE WHEN status = 'ok' THEN best END AS code, CASE WHEN status IN ('ok', 'unknown') THEN round(score, 6) END AS top,
+  CASE WHEN status = 'ok' THEN round(least(1, score / 0.25), 6) END AS confidence, CASE WHEN status = 'ok' THEN round(score - second, 6) END AS margin, {_NAME} AS name FROM detected""",
+    "sentence_offsets": f"""WITH {SENTENCES},
+placed AS (SELECT s.*, length(regexp_extract(substr(text, begun::BIGINT + 1), {_q("^" + SPACE + "*")})) AS lead FROM sents s JOIN (SELECT doc_id, text FROM scored) USING (doc_id))
+SELECT doc_id, sent_idx::INTEGER AS sent_idx, begun::BIGINT AS "offset", (begun + lead)::BIGINT AS begin, length(sentence)::INTEGER AS length, nl::INTEGER AS nl FROM placed""",
     "sentences": f"WITH {SENTENCES}\nSELECT doc_id, code, sent_idx::INTEGER AS sent_idx, sentence FROM sents",
     "rhythm_stats": f"""WITH {TOKENS},
 n AS (SELECT doc_id, len(tok)::DOUBLE AS n FROM toks),
@@ -330,7 +341,8 @@ _INDEX = SQL["index_score"]
 _NOTED = """CASE WHEN signal = 'zipfDev' THEN 'needs 600+ words to fit a rank–frequency slope' WHEN signal = 'rep5' THEN 'needs 300+ words before repetition means anything'
   WHEN signal = 'gradeSd' THEN 'needs 3+ paragraphs of 25 words or more' WHEN signal IN ('paraCv', 'paraSentCv') THEN 'needs 3+ paragraphs' WHEN signal = 'doubleSpace' THEN 'needs 20+ sentence-ending periods'
   WHEN signal IN ('sentKurt', 'sentSkew') THEN 'needs 12+ sentences' WHEN signal = 'flatRun' THEN 'needs 8+ sentences' WHEN signal IN ('hapax', 'yulesK') THEN 'needs 200+ words'
-  WHEN signal = 'listRate' THEN 'needs 6+ lines' ELSE 'not a feature of the language' END"""
+  WHEN signal = 'listRate' THEN 'needs 6+ lines' WHEN code = 'es' THEN 'Spanish has no optional contractions to count'
+  WHEN code = 'pt' THEN 'Portuguese contractions are grammatically mandatory' ELSE 'French elision is mandatory, not a style choice' END"""
 #: Tokens of a page: comments, tags with quoted values, declarations, texts; windows over them tell what is left out and what is open.
 _MARKUP = r"""(?s)<!--(?:-?>|.*?--!?>|.*$)|</?[a-zA-Z][^\s/>]*(?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*>|<[!?][^>]*>|</[^a-zA-Z>][^>]*>|</>|[^<]+|<"""
 _REFERENCE = "(?s)&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[a-zA-Z][a-zA-Z0-9]*;|(?:" + "|".join(sorted((n for n in html5 if n[-1] != ";"), key=lambda n: (-len(n), n))) + "))|[^&]+|&"
@@ -389,7 +401,7 @@ SELECT doc_id, place::INTEGER AS place, reason FROM (SELECT doc_id, unnest(range
   CASE WHEN tiny > 0.42 THEN floor(tiny * 100 + 0.5)::INTEGER || '% of sentences are under six words' END,
   CASE WHEN open_ended > 0.5 THEN floor(open_ended * 100 + 0.5)::INTEGER || '% of lines end without punctuation' END]) AS reason FROM d) WHERE reason IS NOT NULL""",
     "corpus_rollup": f"""WITH scores AS ({_INDEX}), origins AS (SELECT doc_id, min(source) AS source FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)
-SELECT code, source, count(*) AS documents, sum(words)::BIGINT AS words, round(avg(index) + 1e-10, 6) AS index FROM scores JOIN origins USING (doc_id) GROUP BY ROLLUP (code, source)""",
+SELECT grouping_id(code, source)::INTEGER AS level, code, source, count(*) AS documents, sum(words)::BIGINT AS words, round(avg(index) + 1e-10, 6) AS index FROM scores JOIN origins USING (doc_id) GROUP BY ROLLUP (code, source)""",
     "paragraphs": f"""WITH {DETECTED},
 blocks AS (SELECT doc_id, CASE WHEN len(b) < 3 AND contains(text, chr(10)) THEN {_BLOCKS(chr(92) + "n+")} ELSE b END AS ps
   FROM (SELECT *, {_BLOCKS(chr(92) + "n[ " + chr(92) + "t]*" + chr(92) + "n+")} AS b FROM scored))
@@ -404,3 +416,99 @@ text AS (SELECT page_id, CASE WHEN html IS NOT NULL THEN regexp_replace(regexp_r
 SELECT page_id, text, round(CASE WHEN text <> '' THEN len({_LEGIBLE}) / length(substr(text, 1, 20000)) ELSE 0 END + 1e-10, 6) AS legible,
   length(regexp_replace(coalesce(text, ''), {_q(SPACE)}, '', 'g')) >= 40 AS enough FROM text""",
 }
+
+# ---- what is said of documents, sentences and signals ------------------------------------------
+
+
+def _dec(x: str, places: int) -> str:
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || printf('%.{places}f', round(abs({x}) + 1e-10, {places})))"
+
+
+def _plus(x: str, places: int) -> str:
+    return f"(CASE WHEN {x} >= 0 THEN '+' ELSE '' END || {_dec(x, places)})"
+
+
+def _fmt(x: str) -> str:
+    return f"(CASE WHEN abs({x}) >= 100 THEN {_dec(x, 0)} WHEN abs({x}) >= 10 THEN {_dec(x, 1)} WHEN abs({x}) >= 1 THEN {_dec(x, 2)} ELSE {_dec(x, 3)} END)"
+
+
+_SPELLED = [[x.strip() for x in line.split(";")] for line in G.LABELS.strip().splitlines()]
+_TOLD = f"""rungs AS (SELECT doc_id, code, signal, place, label, unit, held, weight, round(value + 1e-10, 6) AS value, round(dev + 1e-10, 6) AS dev, round(center - spread, 6) AS lo, round(center + spread, 6) AS hi
+  FROM (SELECT doc_id, code, signal, value, dev, held, weight FROM evidence) JOIN (VALUES {", ".join(_SPEC_ROWS)}) AS b(code, signal, place, family, center, spread, dir, w) USING (code, signal)
+  JOIN (VALUES {", ".join(f"({_q(a)}, {_q(b)}, {_q(c)})" for a, b, c in _SPELLED)}) AS l(signal, label, unit) USING (signal)),
+bands AS (SELECT *, {_fmt("lo")} || '–' || {_fmt("hi")} AS band FROM rungs)"""
+_EASES = "CASE code WHEN 'en' THEN 'Flesch reading ease' WHEN 'es' THEN 'Fernández Huerta' WHEN 'pt' THEN 'Fernández Huerta (adapted)' ELSE 'Kandel–Moles' END"
+_PACKS = "(VALUES ('en', 'English', 'English', 'primary', 'Flesch reading ease'), ('es', 'Spanish', 'Español', 'secondary', 'Fernández Huerta'), ('pt', 'Portuguese', 'Português', 'secondary', 'Fernández Huerta (adapted)'), ('fr', 'French', 'Français', 'secondary', 'Kandel–Moles')) AS packs(code, name, endonym, calibration, readability)"
+_TOO_LITTLE = "Too little text to examine. Give it at least a paragraph."
+_REFUSED = ("This document appears to be written in ", ", which this bench is not calibrated for. Measuring it against English or Spanish reference bands would produce a confident number that means nothing. Calibrated languages: English, Spanish, Portuguese, French.")
+_UNKNOWN = "Could not identify the language of this document with enough confidence to pick reference bands. If you know it is English, Spanish, Portuguese or French, choose it manually and run it again."
+_CAVEAT = """CAVEAT: this instrument measures style, not origin. It is not Turnitin, ZeroGPT or
+QuillBot and does not reproduce any proprietary classifier. Non-native writers,
+edited text, legal boilerplate, translations and short samples all read as more
+synthetic than they are. Do not take a decision affecting a person on this output
+alone."""
+
+
+def _marks(column: str, what: str) -> str:
+    return f"CASE WHEN {column} > 0 THEN ' · ' || {column}::INTEGER || ' {what} marker' || CASE WHEN {column} > 1 THEN 's' ELSE '' END ELSE '' END"
+
+
+SQL |= {
+    "languages": f"""WITH {LEXICON}
+SELECT code, name, endonym, calibration, readability, coalesce(v, 0)::BIGINT AS vocabulary, coalesce(d, 0)::BIGINT AS documents FROM {_PACKS}
+  LEFT JOIN (SELECT code, count(*) AS v FROM lexicon GROUP BY code) USING (code) LEFT JOIN (SELECT code, count(*) AS d FROM scored GROUP BY code) USING (code)""",
+    "register_totals": f"""WITH hits AS ({SQL["register_hits"]})
+SELECT doc_id, count(*) AS markers, sum(c)::BIGINT AS hits FROM hits GROUP BY doc_id""",
+    "family_counts": f"WITH {SIGNALS}\nSELECT doc_id, family, count(*) AS signals, count(*) FILTER (WHERE NOT held) AS live FROM evidence GROUP BY ALL",
+    "sentence_readout": f"""WITH {FEATURES},
+placed AS (SELECT *, avg(surp) OVER w AS mu, coalesce(stddev_samp(surp) OVER w, 0) AS sigma FROM features WINDOW w AS (PARTITION BY doc_id)),
+told AS (SELECT *, round(surp - mu + 1e-10, 6) AS delta, round(surp, 6) AS bits, round(least(0.98, greatest(0.02, 0.5 + 0.75 * (
+  0.42 * least(2, greatest(-2, CASE WHEN sigma > 0 THEN (mu - surp) / sigma ELSE 0 END)) / 2 + 0.18 * least(1, greatest(-1, 1 - abs(n - 21) / 16))
+  + 0.20 * least(1, 0.9 * dm) + 0.28 * least(1, 1.1 * rm) + 0.08 * passive - 0.22 * human))), 6) AS stain FROM placed)
+SELECT doc_id, sent_idx::INTEGER AS sent_idx, 'sentence ' || (sent_idx + 1)::INTEGER || ' · ' || n::INTEGER || ' words · surprisal ' || {_dec("bits", 2)} || ' bits · Δ ' || {_plus("delta", 2)}
+  || {_marks("dm", "discourse")} || {_marks("rm", "register")} || CASE WHEN passive = 1 THEN ' · passive' ELSE '' END || ' · stain ' || {_dec("stain", 2)} AS readout,
+  CASE WHEN stain >= 0.5 THEN 'machine' ELSE 'human' END AS tint, round(least(0.26, round(abs(stain - 0.5), 6) * 0.55) + 1e-10, 3) AS alpha FROM told""",
+    "trace_ticks": f"""WITH buckets AS ({SQL["trace_buckets"]}),
+ranges AS (SELECT doc_id, 'surp' AS channel, least(9.5, min(surp)) AS a, greatest(11.7, max(surp)) AS b, avg(surp) AS mean FROM buckets GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'n', least(11.0, min(n)), greatest(27.0, max(n)), avg(n) FROM buckets GROUP BY doc_id),
+padded AS (SELECT doc_id, channel, (a - (b - a) * 0.12)::DOUBLE AS lo, (b + (b - a) * 0.12)::DOUBLE AS hi, mean FROM ranges)
+SELECT doc_id, channel, round(lo + 1e-10, 6) AS low, round(hi + 1e-10, 6) AS high, round(mean + 1e-10, 6) AS mean, round(lo + (hi - lo) * 0.12 + 1e-10, 6) AS first_tick, round(hi - (hi - lo) * 0.12 + 1e-10, 6) AS last_tick FROM padded""",
+    "ladder_detail": f"""WITH {SIGNALS},
+{_TOLD}
+SELECT doc_id, signal, CASE WHEN signal = 'flesch' THEN {_EASES} ELSE label END AS label, {_fmt("value")} || CASE WHEN unit <> '' THEN ' ' || unit ELSE '' END AS observed, band,
+  CASE WHEN NOT held THEN {_dec("abs(dev)", 2)} || 'σ toward ' || CASE WHEN dev >= 0 THEN 'machine' ELSE 'human' END END AS deviation, CASE WHEN NOT held THEN {_dec("weight", 1)} END AS weight,
+  CASE WHEN held THEN {_NOTED} END AS reason FROM bands""",
+    "score_all": f"""WITH {DETECTED},
+graded AS ({_INDEX}),
+d AS (SELECT doc_id, CASE WHEN length(regexp_replace(text, {_q(SPACE)}, '', 'g')) < 40 THEN 'too_little' ELSE status END AS state, {_NAME} AS name, CASE WHEN status = 'ok' THEN round(least(1, score / 0.25), 6) END AS confidence
+  FROM detected JOIN texts USING (doc_id))
+SELECT doc_id, d.state AS status, CASE d.state WHEN 'too_little' THEN {_q(_TOO_LITTLE)} WHEN 'unsupported' THEN {_q(_REFUSED[0])} || d.name || {_q(_REFUSED[1])} WHEN 'unknown' THEN {_q(_UNKNOWN)} END AS message,
+  d.name, true AS detected, d.confidence, s.code, s.words, s.logit, s.index, s.percent, s.half, s.band, s.reliability, s.prose
+FROM d LEFT JOIN (SELECT graded.* FROM graded JOIN d USING (doc_id) WHERE state IN ('ok', 'too_short')) s USING (doc_id)""",
+    "report_text": f"""WITH {SIGNALS},
+{_TOLD},
+graded AS ({_INDEX}), reading AS ({SQL["plain_reading"]}), shapes AS ({SQL["shape_reasons"]}), marked AS ({SQL["register_hits"]}), top AS ({SQL["top_grams"]}), fam AS ({SQL["family_scores"]}), counted_all AS ({SQL["document_stats"]}),
+why AS (SELECT doc_id, string_agg(reason, ', ' ORDER BY place) AS reasons FROM shapes GROUP BY doc_id),
+d AS (SELECT * FROM graded JOIN (SELECT doc_id, human_percent, low, high FROM reading) USING (doc_id) JOIN (SELECT * EXCLUDE (code, words) FROM counted_all) USING (doc_id) LEFT JOIN why USING (doc_id) JOIN {_PACKS} USING (code)),
+ladders AS (SELECT doc_id, string_agg('  ' || rpad(label, 30, ' ') || ' ' || lpad({_fmt("value")}, 9, ' ') || ' | ' || band || ' | ' ||
+  CASE WHEN held THEN 'held neutral (' || {_NOTED} || ')' ELSE {_plus("dev", 2)} || 'σ' || CASE WHEN dev > 1 THEN '  << machine' WHEN dev < -1 THEN '  << human' ELSE '' END END, chr(10) ORDER BY place) AS t FROM bands GROUP BY doc_id),
+families AS (SELECT doc_id, string_agg('  ' || rpad(family, 16, ' ') || ' ' || {_plus("score", 2)}, chr(10) ORDER BY list_position(['Rhythm', 'Predictability', 'Lexicon', 'Register', 'Structure', 'Typography'], family)) AS t FROM fam GROUP BY doc_id),
+found AS (SELECT doc_id, chr(10) || chr(10) || 'REGISTER MARKERS FOUND' || chr(10) || string_agg('  ' || c || '× "' || marker || '"', chr(10) ORDER BY rank) AS t FROM marked GROUP BY doc_id),
+repeated AS (SELECT doc_id, chr(10) || chr(10) || 'REPEATED 5-GRAMS' || chr(10) || string_agg('  ' || c || '× "' || gram || '"', chr(10) ORDER BY rank) AS t FROM top GROUP BY doc_id)
+SELECT doc_id, concat_ws(chr(10), 'STYLOMETRIC REPORT', 'specimen: ' || doc_id, '', 'PLAIN READING: ' || human_percent || '% human / ' || percent || '% AI — ' || lower(band),
+  CASE WHEN NOT prose THEN chr(10) || '!! DOCUMENT SHAPE WARNING: this is a list or outline, not flowing prose' || chr(10) || '   (' || coalesce(reasons, '') || '). Text shaped like this scores human' || chr(10)
+    || '   almost automatically, whoever wrote it. The score above is not usable.' END,
+  '', 'MACHINE-STYLE SCORE: ' || percent || '%   (95% CI ' || low || '%–' || high || '%)', 'reading: ' || band, 'sample reliability: ' || reliability,
+  'language: ' || name || ' (' || endonym || '), auto-detected' || CASE WHEN calibration = 'secondary' THEN ', reference bands less calibrated than English' ELSE '' END,
+  'underlying index: ' || {_dec("index", 3)} || ' on 0–1', '', 'words ' || words || ' · types ' || types || ' · sentences ' || sentences || ' · paragraphs ' || paras,
+  'mean sentence ' || {_dec('"sentMean"', 1)} || 'w · surprisal ' || {_dec('"surpMean"', 2)} || '±' || {_dec('"surpSd"', 2)} || ' bits · Zipf slope ' || {_dec('"zipfSlope"', 3)} || ' · ' || readability || ' ' || {_dec("flesch", 1)},
+  '', 'FAMILY SCORES  (−1 human … +1 machine)', families.t, '', 'PARAMETERS  observed | human reference band | deviation', ladders.t || coalesce(found.t, '') || coalesce(repeated.t, ''), '', {_q(_CAVEAT)}) AS report
+FROM d JOIN families USING (doc_id) JOIN ladders USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN repeated USING (doc_id)""",
+}
+
+SQL |= {
+    "stream_scores": SQL["score_all"],
+    "stream_rollup": f"""WITH told AS ({SQL["score_all"]}), origins AS (SELECT doc_id, min(source) AS source FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)
+SELECT grouping_id(code, source)::INTEGER AS level, code, source, count(*) AS documents, sum(words)::BIGINT AS words, round(avg(index) + 1e-10, 6) AS index
+FROM told JOIN origins USING (doc_id) WHERE code IS NOT NULL GROUP BY ROLLUP (code, source)""",
+}

@@ -4,35 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import signals as G
 from ..operators import reports as R
+from ..operators import scoring as T
+from ..operators import signals as G
 from ..operators import style as S
 from ..sources import extract, staging
+from ..streaming import scores as streams
 from . import oracles
-
-QUERIES = {
-    name: (lambda f: lambda spark, sf_dir: f(staging.read(spark, sf_dir)))(f)
-    for name, f in {
-        "word_freq": S.word_freq,
-        "word_stats": S.word_stats,
-        "typography_counts": S.typography,
-        "language_detect": S.detect_language,
-        "sentences": S.sentences,
-        "rhythm_stats": S.rhythm,
-        "marker_rates": S.marker_rates,
-    }.items()
-}
+from .prepared import prepared
 
 
 
-def _measured(make):
-    """A query over the documents and the lexicon made from them."""
-
-    def run(spark, sf_dir):
-        docs = G.corpus(staging.read(spark, sf_dir))
-        return make(docs, G.corpus_lexicon(docs))
-
-    return run
+def _from(make):
+    """A query over what is prepared of the documents."""
+    return lambda spark, sf_dir: make(prepared(spark, sf_dir))
 
 
 def _rounded(name):
@@ -40,42 +25,55 @@ def _rounded(name):
     return F.round(F.col(name) + 1e-10, 6).alias(name)
 
 
-def _long(docs, lexicon):
-    rows = G.signals_long(G.document_signals(docs, lexicon))
-    return rows.select("doc_id", "code", "signal", "family", "held", *[_rounded(c) for c in ("value", "dev", "evidence")], "weight")
+def _long(p):
+    return p.rows.select("doc_id", "code", "signal", "family", "held", *[_rounded(c) for c in ("value", "dev", "evidence")], "weight")
 
 
-def _scores(docs, lexicon):
-    wide = G.document_signals(docs, lexicon)
-    return G.index_scores(wide, G.signals_long(wide))
+def _lines(p):
+    return R.report_lines(p.wide, p.rows, G.register_hits(p.corpus), G.top_grams(p.corpus), p.corpus.languages)
 
 
-QUERIES |= {
-    "mattr": lambda spark, sf_dir: G.mattr(staging.read(spark, sf_dir)).select("doc_id", _rounded("mattr")),
-    "rep5": lambda spark, sf_dir: G.rep5(staging.read(spark, sf_dir)).select("doc_id", F.round("rep5", 6).alias("rep5")),
-    "top_grams": lambda spark, sf_dir: G.top_grams(staging.read(spark, sf_dir)),
-    "register_hits": lambda spark, sf_dir: G.register_hits(staging.read(spark, sf_dir)),
-    "sentence_scores": _measured(lambda docs, lexicon: G.sentence_scores(G.sentence_features(docs, lexicon))),
-    "trace_buckets": _measured(lambda docs, lexicon: G.trace_buckets(G.sentence_features(docs, lexicon))),
-    "signals_long": _measured(_long),
-    "index_score": _measured(_scores),
-    "family_scores": _measured(lambda docs, lexicon: G.family_scores(G.signals_long(G.document_signals(docs, lexicon)))),
-    "findings_top4": _measured(lambda docs, lexicon: G.findings(G.signals_long(G.document_signals(docs, lexicon)))),
-}
-
-QUERIES |= {
-    "plain_reading": _measured(lambda docs, lexicon: R.plain_reading(_scores(docs, lexicon))),
-    "held_signals": _measured(lambda docs, lexicon: R.held_signals(G.signals_long(G.document_signals(docs, lexicon)))),
-    "ladder": _measured(lambda docs, lexicon: R.ladder(G.signals_long(G.document_signals(docs, lexicon)))),
-    "document_stats": _measured(lambda docs, lexicon: R.document_stats(G.document_signals(docs, lexicon))),
-    "shape_reasons": _measured(lambda docs, lexicon: R.shape_reasons(G.document_signals(docs, lexicon))),
-    "corpus_rollup": lambda spark, sf_dir: R.corpus_rollup(QUERIES["index_score"](spark, sf_dir), staging.read(spark, sf_dir)),
-    "paragraphs": lambda spark, sf_dir: R.paragraph_rows(staging.read(spark, sf_dir)),
-    "plate_pages": lambda spark, sf_dir: R.plate_pages(staging.read(spark, sf_dir)),
+QUERIES = {
+    "word_freq": lambda spark, sf_dir: S.word_freq(staging.read(spark, sf_dir)),
+    "word_stats": lambda spark, sf_dir: S.word_stats(staging.read(spark, sf_dir)),
+    "typography_counts": lambda spark, sf_dir: S.typography(S.unique(staging.read(spark, sf_dir))),
+    "language_detect": lambda spark, sf_dir: S.detect_language(S.unique(staging.read(spark, sf_dir))),
+    "languages": lambda spark, sf_dir: T.languages(prepared(spark, sf_dir).corpus, prepared(spark, sf_dir).lexicon),
+    "sentences": _from(lambda p: G.sentence_rows(p.corpus).select("doc_id", "code", "sent_idx", "sentence")),
+    "sentence_offsets": _from(lambda p: G.sentence_offsets(p.corpus)),
+    "rhythm_stats": _from(lambda p: G.rhythm(p.corpus)),
+    "marker_rates": _from(lambda p: G.marker_rates(p.corpus)),
+    "mattr": _from(lambda p: G.mattr(p.corpus).select("doc_id", _rounded("mattr"))),
+    "rep5": _from(lambda p: G.rep5(p.corpus).select("doc_id", F.round("rep5", 6).alias("rep5"))),
+    "top_grams": _from(lambda p: G.top_grams(p.corpus)),
+    "register_hits": _from(lambda p: G.register_hits(p.corpus)),
+    "register_totals": _from(lambda p: R.register_totals(G.register_hits(p.corpus))),
+    "sentence_scores": _from(lambda p: G.sentence_scores(p.features)),
+    "sentence_readout": _from(lambda p: R.sentence_readout(p.features)),
+    "trace_buckets": _from(lambda p: G.trace_buckets(p.features)),
+    "trace_ticks": _from(lambda p: R.trace_ticks(G.trace_buckets(p.features))),
+    "signals_long": _from(_long),
+    "index_score": _from(lambda p: p.scores),
+    "score_all": _from(lambda p: T.outcomes(p.corpus.languages, p.scores)),
+    "family_scores": _from(lambda p: G.family_scores(p.rows)),
+    "family_counts": _from(lambda p: R.family_counts(p.rows)),
+    "findings_top4": _from(lambda p: G.findings(p.rows)),
+    "plain_reading": _from(lambda p: R.plain_reading(p.scores)),
+    "held_signals": _from(lambda p: R.held_signals(p.rows)),
+    "ladder": _from(lambda p: R.ladder(p.rows)),
+    "ladder_detail": _from(lambda p: R.ladder_detail(p.rows)),
+    "document_stats": _from(lambda p: R.document_stats(p.wide)),
+    "shape_reasons": _from(lambda p: R.shape_reasons(p.wide)),
+    "report_text": _from(lambda p: R.report_texts(_lines(p))),
+    "corpus_rollup": lambda spark, sf_dir: R.corpus_rollup(prepared(spark, sf_dir).scores, staging.read(spark, sf_dir)),
+    "paragraphs": _from(lambda p: R.paragraph_rows(p.corpus)),
+    "plate_pages": _from(lambda p: R.plate_pages(p.corpus)),
+    "stream_scores": lambda spark, sf_dir: streams.streamed(spark, f"{sf_dir}/documents.parquet", prepared(spark, sf_dir).lexicon).drop("source"),
+    "stream_rollup": lambda spark, sf_dir: streams.streamed(spark, f"{sf_dir}/documents.parquet", prepared(spark, sf_dir).lexicon, streams.rolled_up),
     "page_texts": lambda spark, sf_dir: extract.extract_pages(staging.read(spark, sf_dir, "pages")),
 }
 
-_TEXT = "(SELECT doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS text FROM documents)"
+_TEXT = "(SELECT doc_id, regexp_replace(coalesce(min(text), ''), '\\r\\n?', chr(10), 'g') AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id)"
 _FREQ = f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({oracles._all('lower(text)', oracles.WORD)}) AS word FROM {_TEXT}) GROUP BY ALL"
 _EDGES = oracles._q(f"^{oracles.SPACE}+|{oracles.SPACE}+$")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.style import SPACE, trimmed
+from ..operators.style import SPACE, enough, trimmed
 
 # Kinds of files that are text, elements that are left out of a page, and those that part blocks.
 PLAIN = ("txt", "text", "md", "markdown", "csv", "log", "tex", "json", "srt", "vtt")
@@ -37,8 +37,8 @@ CLOSE_P = (
 )
 #: What of a text is legible, in its first characters, at least; and of a PDF whose fonts can be read.
 LEGIBLE_CHARS, LEGIBLE, PDF_LEGIBLE = 20_000, 0.6, 0.45
-#: A document has so many characters besides white space at least; an old .doc so many words.
-LEAST_CHARS, DOC_WORDS = 40, 50
+#: An old .doc has so many words at least.
+DOC_WORDS = 50
 #: Bytes that the parts of an archive hold at most when unpacked.
 MOST_BYTES = 1 << 28
 #: Parts of archives: which files, in what order, and what becomes a break before tags go.
@@ -130,11 +130,6 @@ def legibility(text: Column) -> Column:
     return F.when(F.length(head) > 0, F.regexp_count(head, F.lit(f"[A-Za-z0-9.,;:'\"()\\-?!]|{SPACE}")) / F.length(head)).otherwise(0.0)
 
 
-def enough(text: Column) -> Column:
-    """Whether a text has enough characters besides white space to be measured; null has none."""
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")) >= LEAST_CHARS
-
-
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, text, legible, enough: a row per page; null pages give null texts. Other columns are not read."""
     made = pages.select("page_id", trimmed(html_to_text(F.col("html"))).alias("text"))

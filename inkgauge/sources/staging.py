@@ -15,6 +15,23 @@ def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _place(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there."""
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with all that it holds."""
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
 class Staging:
     """Tables in the shared folder of ``spark.checkpoint.dir``, to cut lineage.
 
@@ -35,3 +52,7 @@ class Staging:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, name: str = "") -> None:
+        """Deletes one table, or all."""
+        delete(self.spark, f"{self.root}/{name}" if name else self.root)

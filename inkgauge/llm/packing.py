@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from .common import SLICE_CHARS, SharedFolder, read_table, tokenizer_path
 
 #: Entries of the table of distinct words that a worker keeps; beyond, it starts anew.
-TABLE_ENTRIES = 600_000
+TABLE_ENTRIES = 250_000
 #: So many of the emptiest patterns are tried as partners before the index of all.
 NEAREST = 48
 #: Longer words are encoded, but not kept.

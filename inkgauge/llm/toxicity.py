@@ -36,7 +36,7 @@ TELLING_SHARE = 0.9
 GRADES = 3
 #: Words whose features a worker keeps, and features that a task counts before it hands them on;
 #: beyond, it starts anew.
-TABLE_ENTRIES, COUNTED = 300_000, 300_000
+TABLE_ENTRIES, COUNTED = 150_000, 150_000
 #: Documents of this expected severity or more count as toxic.
 THRESHOLD = 0.5
 #: Weights of the squares and of the sizes of the word weights in what is minimised; words

@@ -26,6 +26,12 @@ def there(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder, not a file."""
+    files, place = _place(spark, path)
+    return files.getFileStatus(place).isDirectory()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder with all that it holds."""
     files, place = _place(spark, path)

@@ -427,8 +427,9 @@ def _across(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(group)
         second, c, root, n = (t.column(i).to_numpy() for i in (3, 4, 5, 6))
-        v, lists = t.column(7).combine_chunks(), t.column(8).combine_chunks()
-        v = folded(v, int(_sketch_words(v).min()))
+        whole, lists = t.column(7).combine_chunks(), t.column(8).combine_chunks()
+        own = _sketch_words(whole)
+        v = folded(whole, int(own.min()))
         sig, values, ends, tells = t.column(0)[0].as_py(), lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
         sigs: dict[int, set[int]] = {}
 
@@ -453,7 +454,16 @@ def _across(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
             x, y = i[x, 0], right[y]
             apart = np.bitwise_count(v[x] ^ v[y]).sum(axis=1, dtype=np.int64)
             near = apart <= _bound(n[x], n[y], percent)
-            once = [(i, j) for i, j in zip(x[near].tolist(), y[near].tolist(), strict=True) if not elsewhere(i, j)]
+            x, y = x[near], y[near]
+            # The block's shortest sketch told these; what the two have themselves can tell more.
+            words, keep = np.minimum(own[x], own[y]), np.ones(len(x), bool)
+            for size in np.unique(words[words > v.shape[1]]).tolist():
+                mine = np.flatnonzero(words == size)
+                for cut in range(0, len(mine), FOLDED_WORDS // size + 1):
+                    few = mine[cut : cut + FOLDED_WORDS // size + 1]
+                    apart = np.bitwise_count(folded(whole, size, x[few]) ^ folded(whole, size, y[few])).sum(axis=1, dtype=np.int64)
+                    keep[few] = apart <= _bound(n[x[few]], n[y[few]], percent)
+            once = [(i, j) for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True) if not elsewhere(i, j)]
             x, y = c[[i for i, _ in once]], c[[j for _, j in once]]
             found.append((np.minimum(x, y), np.maximum(x, y)))
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2

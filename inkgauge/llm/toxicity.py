@@ -37,6 +37,8 @@ GRADES = 3
 #: Words whose features a worker keeps, and features that a task counts before it hands them on;
 #: beyond, it starts anew.
 TABLE_ENTRIES, COUNTED = 150_000, 150_000
+#: Rows that are looked at and handed on together.
+KEPT_ROWS = 256
 #: Documents of this expected severity or more count as toxic.
 THRESHOLD = 0.5
 #: Weights of the squares and of the sizes of the word weights in what is minimised; words
@@ -282,10 +284,12 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            keep = [m.severity(t.as_py() or "") < threshold for t in batch.column(at)]  # a text at a time
-            kept = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns, arrow, strict=True)], schema=arrow)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, KEPT_ROWS):  # so that no second copy of a batch is made
+                batch = whole.slice(begin, KEPT_ROWS)
+                keep = [m.severity(t.as_py() or "") < threshold for t in batch.column(at)]
+                kept = batch.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns, arrow, strict=True)], schema=arrow)
         pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)

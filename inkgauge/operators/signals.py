@@ -13,7 +13,7 @@ empty texts have no sentences. Other columns of the documents are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -83,8 +83,8 @@ class Corpus:
 KINDS = {"dms": V.DISCOURSE, "rms": V.REGISTER, "hgs": V.HEDGES}
 
 
-def corpus(docs: DataFrame | Corpus, lang_col: str | None = None) -> Corpus:
-    """Detects, splits and saves documents; a corpus stays as it is."""
+def corpus(docs: DataFrame | Corpus, lang_col: str | None = None, watch: Observation | None = None) -> Corpus:
+    """Detects, splits and saves documents; a corpus stays as it is. ``watch`` gets how many documents there are and are measured."""
     if isinstance(docs, Corpus):
         return docs
     d = S.detected(S.unique(docs, *([lang_col] if lang_col else [])), lang_col)
@@ -99,6 +99,8 @@ def corpus(docs: DataFrame | Corpus, lang_col: str | None = None) -> Corpus:
     # A marker that no text of a document holds is in none of its sentences.
     marks = {k: S.markers_in(F.col("low"), F.col("measured"), lists).alias(k) for k, lists in KINDS.items()}
     made = d.select("doc_id", "status", "code", "top", "confidence", "margin", "name", "measured", F.when(kept, F.col("text")).alias("text"), F.transform("seg", sentence).alias("sents"), *marks.values(), S.enough(F.col("text")).alias("enough"))
+    if watch is not None:
+        made = made.observe(watch, F.count(F.lit(1)).alias("documents"), F.count("measured").alias("measured"))
     folder = Staging(docs.sparkSession, "corpus")
     return Corpus(folder.save(made, "texts"), "texts", folder)
 
@@ -338,9 +340,12 @@ def _text_signals(docs: DataFrame) -> DataFrame:
     return S.typography(texts).join(odd, "doc_id")
 
 
-def saved_features(docs: DataFrame | Corpus, lexicon: DataFrame) -> DataFrame:
-    """sentence_features, written once."""
-    return Staging(lexicon.sparkSession, "features").save(sentence_features(docs, lexicon), "sentences")
+def saved_features(docs: DataFrame | Corpus, lexicon: DataFrame, watch: Observation | None = None) -> DataFrame:
+    """sentence_features, written once. ``watch`` gets how many sentences and words there are."""
+    made = sentence_features(docs, lexicon)
+    if watch is not None:
+        made = made.observe(watch, F.count(F.lit(1)).alias("sentences"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
+    return Staging(lexicon.sparkSession, "features").save(made, "sentences")
 
 
 def document_signals(docs: DataFrame | Corpus, lexicon: DataFrame, features: DataFrame | None = None) -> DataFrame:

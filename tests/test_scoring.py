@@ -114,3 +114,12 @@ def test_prepared_tables_serve_while_files_stay(spark, docs, tmp_path):
     folders = second.folders
     second.drop()
     assert folders and not any(P.staging.there(spark, f) for f in folders)
+
+
+def test_progress_is_counted_on_the_way(docs):
+    lexicon = docs.sparkSession.createDataFrame([("en", "the", 1)], "code string, word string, rank int")
+    seen = []
+    scores = T.score(docs.drop("index"), lexicon=lexicon, progress=lambda phase, counts: seen.append((phase, counts)))
+    assert [p for p, _ in seen] == ["Segmenting", "Measuring", "Done"]
+    assert seen[0][1]["documents"] == scores.count() == 10 and seen[0][1]["measured"] == 6
+    assert seen[1][1]["sentences"] > 30 and seen[1][1]["words"] > seen[1][1]["sentences"]

@@ -36,7 +36,7 @@ TELLING_SHARE = 0.9
 GRADES = 3
 #: Words whose features a worker keeps, and features that a task counts before it hands them on;
 #: beyond, it starts anew.
-TABLE_ENTRIES, COUNTED = 150_000, 150_000
+TABLE_ENTRIES, COUNTED = 60_000, 50_000
 #: Rows that are looked at and handed on together.
 KEPT_ROWS = 256
 #: Documents of this expected severity or more count as toxic.

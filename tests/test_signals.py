@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from inkgauge.operators import signals as G
 from inkgauge.operators import style as S
+from inkgauge.sources import staging
 
 
 def test_spec_has_41_signals_for_each_language(spark):
@@ -46,3 +47,27 @@ def test_scores_stay_in_range_and_held_signals_weigh_nothing(spark):
     assert set(scores) == {1, 5} and all(0 < r["index"] < 1 for r in scores.values())
     w = {r["signal"]: r["value"] for r in rows.where("doc_id = 1").collect()}
     assert w["contraction"] > 0 and w["discourse"] > 0 and math.isclose(w["exclaimQ"], 1 / 3) and math.isclose(w["passive"], 2 / 3)  # "was closed" and "was seen"
+
+
+def test_words_of_a_prepared_corpus_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"The word {'abc'[i % 3]} comes twice, and twice it comes. One more sentence is here.") for i in range(30)], "doc_id long, text string")
+    corpus = G.corpus(docs)
+    lexicon = spark.createDataFrame([("en", "the", 1)], "code string, word string, rank int")
+    for made in (G.rep5(corpus), G.mattr(corpus), G._word_signals(corpus, lexicon)):
+        made.count()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and made.count() == 30
+    table = staging.table_of(f"{corpus.folder.root}/texts")
+    assert spark.catalog.tableExists(table)
+    corpus.drop()
+    assert not spark.catalog.tableExists(table)
+
+
+def test_markers_and_trims_equal_plain_ones(spark):
+    rows = [("however, in addition to that enthusiasm",), ("",), (None,), ("moreover it is important to note that thus",)]
+    kinds = {"dms": S.V.DISCOURSE, "hgs": S.V.HEDGES}
+    got = spark.createDataFrame(rows, "low string").select("low", S.markers_in(F.col("low"), F.lit("en"), kinds).alias("m")).collect()
+    for r in got:
+        for k, lists in kinds.items():
+            assert (r["m"] and r["m"][k]) == (None if r["low"] is None else [m for m in S._listed(lists["en"]) if m in r["low"]])
+    assert spark.range(1).select(S.trimmed(F.lit(" \n a b \t　")).alias("x")).first()[0] == "a b"

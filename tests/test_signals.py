@@ -71,3 +71,21 @@ def test_markers_and_trims_equal_plain_ones(spark):
         for k, lists in kinds.items():
             assert (r["m"] and r["m"][k]) == (None if r["low"] is None else [m for m in S._listed(lists["en"]) if m in r["low"]])
     assert spark.range(1).select(S.trimmed(F.lit(" \n a b \t　")).alias("x")).first()[0] == "a b"
+
+
+def test_syllables_of_texts_in_several_languages(spark):
+    rows = [("the making banana", "en", 6), ("causa  bueno", "es", 4), ("maisons parlent", "fr", 3), ("", "pt", 0), (None, "en", None), ("1 2", "en", 0), ("making", "de", 2), ("making", None, 2)]
+    df = spark.createDataFrame(rows, "w string, code string, want int")
+    assert all(r["got"] == r["want"] for r in df.select("want", G.syllables(F.col("w"), F.col("code")).alias("got")).collect())
+
+
+def test_listed_words_and_guarded_patterns(spark):
+    lists = {(r["code"], r["word"]): r for r in G._listed_words(spark).collect()}
+    for k, words in G.LISTS.items():
+        for c in S.LANGUAGES:
+            assert {w for (code, w), r in lists.items() if code == c and r[k]} == set(S._listed(words[c]))
+    texts = ["It WAS ſeen by me.", "İs done", "The ı and we", "nothing here", "was", "He was quickly shown it. Us."]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    for p in (G.G.PASSIVE["en"], G.G.FIRST_PERSON_IN["en"]):
+        got = df.select(F.regexp_like("x", G._pattern(p, G._begins(p))).alias("a"), F.regexp_like("x", G._pattern(p)).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in got) and any(r["a"] for r in got)

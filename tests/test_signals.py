@@ -89,3 +89,43 @@ def test_listed_words_and_guarded_patterns(spark):
     for p in (G.G.PASSIVE["en"], G.G.FIRST_PERSON_IN["en"]):
         got = df.select(F.regexp_like("x", G._pattern(p, G._begins(p))).alias("a"), F.regexp_like("x", G._pattern(p)).alias("b")).collect()
         assert all(r["a"] == r["b"] for r in got) and any(r["a"] for r in got)
+
+
+def test_languages_are_told_once_for_each_text(spark):
+    docs = spark.createDataFrame([(i, "The plan is however known to all of us and it was seen by them. " * 3) for i in range(4)], "doc_id long, text string")
+    d = S.detected(S.unique(docs)).withColumn("low", F.lower("text"))
+    d = d.withColumn("m", S.markers_in(F.col("low"), F.col("measured"), G.KINDS))
+    # Behind a helper the ranking of languages was worked out anew for each mention.
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1 and d.where("size(m.dms) > 0").count() == 4
+
+
+def test_marks_and_words_are_counted_in_one_pass(spark):
+    text = "# Head\n- one item,two\n\n  2) Next.Now . Well?? the the ONe **bold x** end.  It is so “odd” — that's 'it'.​\n#\n# x\n\x0b a) b\n"
+    docs = spark.createDataFrame([(1, text), (2, "\n \n"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r.asDict() for r in S.typography(docs).collect()}
+    assert got[1] == {"doc_id": 1, "dashes": 1, "curly": 2, "straight": 3, "wide_gaps": 1, "gaps": 2, "odd_spaces": 1, "heads": 3, "lines": 6, "items": 3}
+    assert all(v == 0 for k in (2, 3) for c, v in got[k].items() if c != "doc_id")
+    words = "we saw that old red house and then we saw that old red house again. it is late. " * 3
+    docs = spark.createDataFrame([(1, words), (2, "one two three.")], "doc_id long, text string")
+    corpus = G.corpus(docs)
+    few = spark.createDataFrame([("en", "we", 1), ("en", "saw", 2)], "code string, word string, rank int")
+    made = G._text_signals(corpus, few)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and not any(x in plan for x in ("Join", "Window", "Aggregate"))
+    # The same sums where the lexicon is joined.
+    joined = {r["doc_id"]: r for r in G._joined_word_signals(corpus, few).collect()}
+    for r in made.collect():
+        assert all(math.isclose(r[c], joined[r["doc_id"]][c], abs_tol=1e-12) for c in joined[r["doc_id"]].asDict())
+    lines = [x.split() for x in ("we saw that old red house and then we saw that old red house again\nit is late\n" * 3).splitlines()]
+    runs = [" ".join(x[i : i + 5]) for x in lines for i in range(len(x) - 4)]
+    top = sorted(dict.fromkeys(runs), key=lambda g: -runs.count(g))[:8]
+    assert [(r["gram"], r["c"]) for r in G.top_grams(corpus).where("doc_id = 1").orderBy("rank").collect()] == [(g, runs.count(g)) for g in top]
+
+
+def test_sentences_are_looked_at_by_simple_patterns(spark):
+    texts = ["It WAS ſeen by me.", "İs done", "The ı and we", "nothing here", "He was quickly shown it. Us.", "Se dice que", "je l'ai vu", "nós fomos vistos", "était très vite pris", None]
+    df = spark.createDataFrame([(x, c) for x in texts for c in (*S.LANGUAGES, "de")], "x string, c string")
+    for patterns in (G.G.PASSIVE, G.G.FIRST_PERSON_IN):
+        plain = S.by_language(F.col("c"), {c: F.regexp_like("x", G._pattern(p)) for c, p in patterns.items()})
+        rows = df.select("x", "c", plain.alias("a"), G.H.fits(F.col("x"), F.col("c"), {c: G._simple(p) for c, p in patterns.items()}).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in rows), [r for r in rows if r["a"] != r["b"]]

@@ -129,3 +129,17 @@ def test_sentences_are_looked_at_by_simple_patterns(spark):
         plain = S.by_language(F.col("c"), {c: F.regexp_like("x", G._pattern(p)) for c, p in patterns.items()})
         rows = df.select("x", "c", plain.alias("a"), G.H.fits(F.col("x"), F.col("c"), {c: G._simple(p) for c, p in patterns.items()}).alias("b")).collect()
         assert all(r["a"] == r["b"] for r in rows), [r for r in rows if r["a"] != r["b"]]
+
+
+def test_moving_ratio_looks_at_all_words_of_long_documents(spark):
+    # 900 sentences of 30 words, which every second sentence and the first 20,000 words do not tell.
+    sents = [" ".join(f"{'abc'[i % 3]}{'xyzuvw'[(i * j) % 6]}{'klmn'[j % 4] if i % 2 else 'o'}" for j in range(30)) for i in range(900)]
+    docs = spark.createDataFrame([(1, ". ".join(x.capitalize() for x in sents) + ".", "en")], "doc_id long, text string, lang string")
+    words = " ".join(sents).split()
+    mean = lambda ws: sum(len(set(ws[i : i + 50])) / 50 for i in range(len(ws) - 49)) / (len(ws) - 49)
+    corpus, want = G.corpus(docs, "lang"), mean(words)
+    lexicon = spark.createDataFrame([("en", "ax", 1)], "code string, word string, rank int")
+    wide = G.document_signals(corpus, lexicon).first()
+    assert wide["sentences"] == 900 and math.isclose(wide["mattr"], want) and math.isclose(G.mattr(corpus).first()["mattr"], want)
+    few = G.mattr(corpus, sample=G.SAMPLE).first()["mattr"]
+    assert math.isclose(few, mean(" ".join(sents[::2]).split())) and abs(few - want) > 0.01

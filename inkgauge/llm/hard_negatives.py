@@ -168,7 +168,9 @@ class PivotTable:
         square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
         largest = rows.groupBy(F.size("x").alias("dim")).agg(F.max(square).alias("square")).collect()  # one for each length
         sample: dict[int, list] = {}
-        for r in rows.orderBy(F.xxhash64("id"), "id").select("x").limit(SAMPLE_ROWS).collect():
+        # Ids alone are put in order, as each task sends as many to the driver.
+        ids = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).distinct()
+        for r in rows.join(F.broadcast(ids), "id", "left_semi").select("x").limit(SAMPLE_ROWS).collect():
             sample.setdefault(len(r["x"]), []).append(r["x"])
         self.pivots = {r["dim"]: Pivots(np.array(sample.get(r["dim"], []), np.int64).reshape(-1, r["dim"]), r["square"]) for r in largest}
         shared = rows.sparkSession.sparkContext.broadcast(self.pivots)
@@ -240,13 +242,18 @@ def _gathered(rows: DataFrame, most: int, extra: tuple[str, ...] = ()) -> DataFr
 
 
 def _met(table: PivotTable, anchors: DataFrame, extra: tuple[str, ...], work: Callable, schema: str) -> DataFrame:
-    """Anchor blocks beside row blocks, handed to ``work`` by task."""
+    """Anchor blocks beside row blocks, handed to ``work`` by task.
+
+    Each slice of the rows gets all anchors, which a broadcast would gather in the driver as often. In a task an anchor block
+    meets the row blocks of a slice one after the other.
+    """
     spark = anchors.sparkSession
     slices = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table.rows // BLOCK_ROWS)))
     asked = _gathered(anchors, ANCHOR_ROWS, extra).select("dim", *[F.col(c).alias(f"q_{c}") for c in ("ids", "labels", "x", *extra)])
     asked = asked.select("*", F.xxhash64("q_ids", *[f"q_{c}" for c in extra]).alias("q_at"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    left = table.blocks.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
-    return left.join(asked, ["dim", "slice"]).mapInPandas(work, schema)
+    blocks = table.blocks.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int"))
+    by = ["dim", "slice"]
+    return asked.repartition(slices, *by).join(blocks.repartition(slices, *by).hint("merge"), by).mapInPandas(work, schema)
 
 
 def _few(n: int) -> int:
@@ -295,7 +302,7 @@ def nearest_in_windows(table: PivotTable, anchors: DataFrame, n_anchors: int, po
     windows = positives.groupBy("anchor_id").agg(F.sort_array(F.collect_list(F.struct(F.col("positive_score").alias("s"), F.col("positive_id").alias("i")))).alias("w"))
     most = positives.groupBy("anchor_id").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
     filled = F.concat("w", F.array_repeat(F.struct(F.lit(NONE).alias("s"), F.lit(0).cast("long").alias("i")), F.lit(most) - F.size("w")))
-    asked = anchors.join(windows.select(F.col("anchor_id").alias("id"), filled.alias("w")), "id")
+    asked = anchors.join(windows.select(F.col("anchor_id").alias("id"), filled.alias("w")).hint("merge"), "id")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

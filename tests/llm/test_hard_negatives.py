@@ -87,3 +87,16 @@ def test_lists_keep_the_best_ids_once():
 def test_large_components_stay_whole():
     big = np.array([[1 << 26, 3]]), np.array([[1 << 26, 5], [-(1 << 26), 1]])
     assert H.products(*big).tolist() == [[(1 << 52) + 15, -(1 << 52) + 3]]
+
+
+def test_anchors_of_all_slices_are_not_gathered_in_the_driver(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(H, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist(), i % 3, 1) for i in range(600)], VECTORS)
+    rows = df.select(F.col("vec_id").alias("id"), "label", H.whole(F.col("embedding"), 256).alias("x"))
+    folder = H.SharedFolder(spark, "test")
+    table = H.PivotTable(rows, folder)
+    anchors = folder.save(table.far.where("id % 50 = 0"), "anchors")
+    plan = H.nearest_of_label(table, anchors, 12, 5)._jdf.queryExecution().executedPlan().toString()
+    folder.drop()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and all(len(p.points) == H.PIVOTS for p in table.pivots.values())
